@@ -74,6 +74,6 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, temperature: flo
     joined = joined.withColumn("m_u", uniform(seed, F.col(id_col))).withColumn("m_count", F.size(F.filter("m_steps", lambda c: c <= F.col("m_u")))).drop("m_u")
     copies = joined.where("m_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m_count"))))
     copies = copies.withColumn("m_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # whole texts move, so tasks are kept small
     mixed = copies.repartition(partitions, "m_key").sortWithinPartitions("m_key")
     return mixed.select(*df.columns, F.col("copy").cast("int").alias("copy"), F.round("m_rate", 9).alias("rate"))
