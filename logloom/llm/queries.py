@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, quality
+import public_tokenizers
+
+from . import bpe, common, langid, mixing, quality
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +21,21 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.fold() != 2))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (langid.fold() == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    encode = bpe.encode_column(public_tokenizers.path("byte_bpe_50k.json"), sums_only=True)
+    return docs.select("doc_id", encode("text").alias("x")).select("doc_id", "x.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op7_language_id, op10_bpe)}
 
 
 def _op1_sql() -> str:
