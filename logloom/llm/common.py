@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Cells of the histogram from which id ranges are cut; bounds what reaches the driver.
-CELLS = 4096
+#: Most cells of the histogram from which id ranges are cut; bounds what reaches the driver.
+CELLS = 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,32 +94,37 @@ class Store:
             return source.read()
 
 
-def shard_count(spark: SparkSession, total_bytes: int, shard_bytes: int) -> int:
-    """Shards of about ``shard_bytes``, but some for each shuffle partition so that hashing deals them evenly."""
-    return max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // shard_bytes))
+def partitions(spark: SparkSession) -> int:
+    """Partitions for shuffles that carry whole texts: twice the session's, so that tasks hold little."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def id_ranges(df: DataFrame, id_col: str, weight: Column, shard_bytes: int) -> tuple[Column, int]:
     """An expression for the number of a row's id range, ascending with the id, and the count of ranges.
 
-    Ranges hold about equal weight (bytes). They are cut at the edges of :data:`CELLS` equal steps between the
-    least and the largest id, so they depend on the rows alone, not on a sample or on how rows are spread; what
-    reaches the driver is bounded. Null ids belong to the last range.
+    Ranges hold about equal weight (bytes), ``shard_bytes`` or less: some ranges for each partition, so that hashing
+    deals them evenly. They are cut at the edges of equal steps between the least and the largest id, so they depend
+    on the rows alone, not on a sample or on how rows are spread. The steps, of which a number bounded by
+    :data:`CELLS` reaches the driver, follow the count of ranges. Null ids belong to the last range.
     """
-    low, high = df.agg(F.min(id_col), F.max(id_col)).first()
+    low, high, total = df.agg(F.min(id_col), F.max(id_col), F.sum(weight + F.lit(1))).first()
     if low is None:
         return F.lit(0), 1
-    step = max(1.0, (float(high) - float(low) + 1) / CELLS)
-    cell = F.least(F.lit(CELLS - 1), F.floor((F.col(id_col).cast("double") - F.lit(float(low))) / F.lit(step))).cast("int")
+    shards = max(2 * partitions(df.sparkSession), -(-total // shard_bytes))
+    cells = min(CELLS, 16 * shards)
+    step = max(1.0, (float(high) - float(low) + 1) / cells)
+    cell = F.least(F.lit(cells - 1), F.floor((F.col(id_col).cast("double") - F.lit(float(low))) / F.lit(step))).cast("int")
     weights = dict(df.groupBy(cell.alias("cell")).agg(F.sum(weight + F.lit(1)).alias("w")).collect())
-    total = sum(weights.values())
-    shards = shard_count(df.sparkSession, total, shard_bytes)
-    numbers, so_far = [], 0
-    for k in range(CELLS):
+    numbers, so_far, used = [], 0, set()
+    for k in range(cells):
         numbers.append(so_far * shards // total)
-        so_far += weights.get(k) or 0
-    dense = {n: i for i, n in enumerate(sorted(set(numbers)))}
-    numbers = [dense[n] for n in numbers]
+        if k in weights:
+            used.add(numbers[-1])
+            so_far += weights[k]
+    dense = {n: i for i, n in enumerate(sorted(used))}
+    last = 0
+    for k, n in enumerate(numbers):
+        last = numbers[k] = dense.get(n, last)
     return F.coalesce(F.get(F.lit(numbers), cell), F.lit(len(dense) - 1)), len(dense)
 
 
@@ -148,6 +153,19 @@ def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def blocks_of(rows: Iterable[tuple], text: int, size: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Lists of rows with about ``size`` characters in column ``text``."""
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += len(row[text] or "") + 64
+        if chars >= size:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
+
+
 def runs_by_key(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """(key, rows) for each run of rows that agree in the first ``keys`` columns; needs sorted rows."""
     current, held = None, []

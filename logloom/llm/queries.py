@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, common, langid, mixing, quality
+from . import bpe, common, idstore, langid, mixing, quality, rollup, spotsigs, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,36 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch(spark, "warc")
+    warc.write(common.read(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("url")
+
+
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_next(common.read(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert all documents under two tokenizer versions, delete later copies, then revise the counts of the first
+    version to those without repeated lines. Each batch is sent twice; the second time changes nothing."""
+    folder = common.scratch(spark, "token-counts")
+    paths = {"v1": public_tokenizers.path("byte_bpe_50k.tiktoken"), "v2": public_tokenizers.path("byte_bpe_multi_50k.tiktoken")}
+    count = rollup.token_counts(paths, public_tokenizers.PATTERN, deduplicate="v1")
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("digest"), count("text").alias("n"))
+    docs = common.stored(docs.select("doc_id", "source", "lang", "digest", "n.*"), f"{folder}/counts")
+    both = F.explode(F.array(*[F.struct(F.lit(name).alias("tokenizer"), F.col(name).alias("n_tokens")) for name in paths]))
+    flat = lambda rows: rows.select("*", both.alias("c")).select("source", "lang", "c.*", "v1", "revised")
+    gone = rollup.copies(docs, folder)
+    changed = docs.where("revised <> v1").select("source", "lang", F.lit("v1").alias("tokenizer"), F.col("v1").alias("n_tokens"), F.col("revised").alias("new_tokens"))
+    changed_gone = gone.where("revised <> v1").select("source", "lang", F.lit("v1").alias("tokenizer"), F.col("revised").alias("n_tokens"), F.col("v1").alias("new_tokens"))
+    totals = rollup.Rollup(spark, f"{folder}/rollup")
+    for name, deltas in (("1-inserts", rollup.inserts(flat(docs))), ("2-deletes", rollup.deletes(flat(gone))), ("3-revisions", rollup.revisions(changed).union(rollup.revisions(changed_gone)))):
+        totals.commit(name, deltas)
+        totals.commit(name, deltas)
+    return totals.totals()
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     model = langid.fit(docs.where(langid.fold() != 2))
@@ -28,6 +58,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch(spark, "token-ids")
+    idstore.write(common.read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return idstore.read(spark, folder).drop("ids")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     encode = bpe.encode_column(public_tokenizers.path("byte_bpe_50k.json"), sums_only=True)
@@ -35,7 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op7_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op4_warc, op5_spotsigs, op6_token_counts, op7_language_id, op9_token_ids, op10_bpe)}
 
 
 def _op1_sql() -> str:
