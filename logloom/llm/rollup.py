@@ -3,7 +3,6 @@
 A batch holds deltas of (source, lang, tokenizer): an insert adds a document and its tokens, a delete takes them
 away, a revised count adds the difference. A batch is summed and committed under its name by one rename; a batch
 whose name is there already is left out, so that a job that runs again changes nothing. Totals add up the batches.
-:meth:`Rollup.compact` folds them into one table.
 """
 
 from __future__ import annotations
