@@ -94,9 +94,10 @@ class Store:
             return source.read()
 
 
-def partitions(spark: SparkSession) -> int:
-    """Partitions for shuffles that carry whole texts: twice the session's, so that tasks hold little."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, shards: int = 0) -> int:
+    """Partitions for shuffles that carry whole texts: twice the session's, so that tasks hold little, and more
+    where the count of shards says that the data need them."""
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 2)
 
 
 def id_ranges(df: DataFrame, id_col: str, weight: Column, shard_bytes: int) -> tuple[Column, int]:
@@ -107,14 +108,16 @@ def id_ranges(df: DataFrame, id_col: str, weight: Column, shard_bytes: int) -> t
     on the rows alone, not on a sample or on how rows are spread. The steps, of which a number bounded by
     :data:`CELLS` reaches the driver, follow the count of ranges. Null ids belong to the last range.
     """
-    low, high, total = df.agg(F.min(id_col), F.max(id_col), F.sum(weight + F.lit(1))).first()
+    low, high, rows = df.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()  # reads the ids alone
     if low is None:
         return F.lit(0), 1
-    shards = max(2 * partitions(df.sparkSession), -(-total // shard_bytes))
-    cells = min(CELLS, 16 * shards)
+    fewest = 2 * partitions(df.sparkSession)
+    cells = min(CELLS, 16 * max(fewest, rows * 8192 // shard_bytes))
     step = max(1.0, (float(high) - float(low) + 1) / cells)
     cell = F.least(F.lit(cells - 1), F.floor((F.col(id_col).cast("double") - F.lit(float(low))) / F.lit(step))).cast("int")
     weights = dict(df.groupBy(cell.alias("cell")).agg(F.sum(weight + F.lit(1)).alias("w")).collect())
+    total = sum(weights.values())
+    shards = max(fewest, -(-total // shard_bytes))
     numbers, so_far, used = [], 0, set()
     for k in range(cells):
         numbers.append(so_far * shards // total)

@@ -11,11 +11,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,21 @@ INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("at", "<u8"), ("n", "<u4")])
 SHARD_BYTES, SAMPLE_DOCUMENTS, DICTIONARY_BYTES, LEVEL = 256 << 20, 600, 64 << 10, 3
 #: Longer documents are not in the training sample, which keeps it bounded.
 SAMPLE_CHARS = 1 << 16
-REMEMBERED = 1_000_000
+#: Words that a worker remembers in each of two generations.
+REMEMBERED = 600_000
+
+
+#: Lower-case words of ASCII letters and of the letters U+00DF to U+00FF, in UTF-8.
+_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library, each distinct chunk between ASCII white space once.
+    """Whole texts to ids with the tokenizers library, each distinct word once.
 
-    Holds for tokenizers whose pre-tokens never reach across white space and which drop it, so that a text's ids
-    are its chunks' ids in a row; :func:`encoder` checks this on texts that would show otherwise.
+    Holds for tokenizers that fold case, drop white space and mark the end of each pre-token, so that a text's ids
+    are the ids of its chunks between ASCII white space, in a row; what it was made with is checked. Words that are
+    all letters are given to the library joined by spaces, and the marks tell their ids apart. A word with one full
+    stop or comma after it is the word's ids and the mark's. Texts in which a special token may stand are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,20 +58,71 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as source:
+            file = json.load(source)
+        suffix = file["model"].get("end_of_word_suffix") or ""
+        kinds = {x.get("type") for x in (file.get("normalizer") or {}).get("normalizers", [])}
+        if not suffix or "Lowercase" not in kinds:
+            raise ValueError("this tokenizer does not mark the ends of words or does not fold case")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in file["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        self.starts = tuple({t["content"][:2].encode() for t in file["added_tokens"]})
         self.known: dict[bytes, bytes] = {}
-        for probe in ("a b", "it 's a  <|endoftext|> b\tc\nd", " x ́y  1 2 '", "..  ..\r\n!"):
+        self.before: dict[bytes, bytes] = {}
+        for probe in ("a b", "It 's a  <|endoftext|> b\tc\nd", " x ́y  1 2 '", "..  ..\r\n!", "ÉÉ, été. don't œuvre"):
             if np.frombuffer(self.encode([probe])[0], self.kind).tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
                 raise ValueError("this tokenizer's tokens reach across white space")
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, before = self.known, self.before
+        letters, marked, other = set(), [], []
+        for chunk in new:
+            if (ids := before.get(chunk)) is not None:
+                known[chunk] = ids
+            elif _WORD.fullmatch(chunk):
+                letters.add(chunk)
+            elif chunk[-1:] in (b".", b",") and _WORD.fullmatch(chunk, 0, len(chunk) - 1):
+                marked.append(chunk)
+                if chunk[:-1] not in known:
+                    letters.add(chunk[:-1])
+            else:
+                other.append(chunk)
+        words = list(letters)
+        for low in range(0, len(words), 4096):
+            part = words[low : low + 4096]
+            joined = [b" ".join(part[k : k + 64]).decode() for k in range(0, len(part), 64)]
+            flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), self.kind)
+            cuts = (np.flatnonzero(self.ends[flat]) + 1) * self.kind.itemsize
+            if len(cuts) != len(part):
+                raise ValueError("this tokenizer splits words of letters")
+            data, at = flat.tobytes(), 0
+            for word, end in zip(part, cuts.tolist(), strict=True):
+                known[word] = data[at:end]
+                at = end
+        for chunk, found in zip(other, self.tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False), strict=True):
+            known[chunk] = np.array(found.ids, self.kind).tobytes()
+        for mark in (b".", b","):
+            if marked and mark not in known:
+                known[mark] = self._whole(mark.decode())
+        for chunk in marked:
+            known[chunk] = known[chunk[:-1]] + known[chunk[-1:]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.encode("utf-8", "replace").split() for t in texts]
+        whole: dict[int, bytes] = {}
+        chunks = []
+        for k, t in enumerate(texts):
+            data = t.encode("utf-8", "replace")
+            if any(s in data for s in self.starts):
+                whole[k], data = self._whole(t), b""
+            chunks.append(data.lower().split())  # of bytes: ASCII letters, ASCII white space
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.before, self.known = self.known, {}
+        self._learn(set().union(*chunks).difference(self.known))
         known = self.known
-        new = list(set().union(*chunks).difference(known))
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            known[chunk] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join([known[c] for c in part]) for part in chunks]
+        return [whole[k] if k in whole else b"".join([known[c] for c in part]) for k, part in enumerate(chunks)]
 
 
 @lru_cache(maxsize=2)
@@ -100,8 +160,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "tex
     dictionary = train(docs, "t", "id", path, end_id)
     sha = hashlib.sha256(dictionary).hexdigest()
     common.Store(folder).put(f"dictionary-{sha}.zdict", dictionary)
-    shard, _ = common.id_ranges(docs, "id", F.octet_length("t").cast("long"), shard_bytes)
-    dealt = docs.select(shard.alias("shard"), "id", "t").repartition(common.partitions(spark), "shard").sortWithinPartitions("shard", F.asc_nulls_last("id"), "t")
+    shard, shards = common.id_ranges(docs, "id", F.octet_length("t").cast("long"), shard_bytes)
+    dealt = docs.select(shard.alias("shard"), "id", "t").repartition(common.partitions(spark, shards), "shard").sortWithinPartitions("shard", F.asc_nulls_last("id"), "t")
     shared = spark.sparkContext.broadcast(dictionary)
     schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 

@@ -101,7 +101,7 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", shard_byte
     The copies are found from the largest id of each range, so nothing is sorted in one task.
     """
     docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    shard, _ = common.id_ranges(docs, "id", F.octet_length("t").cast("long"), shard_bytes)
+    shard, shards = common.id_ranges(docs, "id", F.octet_length("t").cast("long"), shard_bytes)
     docs = docs.withColumn("shard", F.when(F.col("id").isNull(), 0).otherwise(shard))
     heads = dict(docs.where(F.col("id").isNotNull()).groupBy("shard").agg(F.max("id")).collect())
     if heads:
@@ -115,7 +115,7 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", shard_byte
         docs = docs.select("p.shard", "p.look", "id", "t")
     else:
         docs = docs.select("shard", F.lit(0).alias("look"), "id", "t")
-    return docs.repartition(common.partitions(df.sparkSession), "shard").sortWithinPartitions("shard", "look", F.desc_nulls_last("id"), "t")
+    return docs.repartition(common.partitions(df.sparkSession, shards), "shard").sortWithinPartitions("shard", "look", F.desc_nulls_last("id"), "t")
 
 
 def compare_next(df: DataFrame, key: str = "doc_id", text: str = "text", chain: int = CHAIN) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Payload aimed at in a shard, compressed bytes at which a file rolls, and the compression level.
-SHARD_BYTES, ROLL_BYTES, LEVEL = 512 << 20, 64 << 20, 6
+SHARD_BYTES, ROLL_BYTES, LEVEL = 128 << 20, 64 << 20, 6
 #: Payloads shorter than this are always written out.
 LEAST_REVISIT = 100
 #: The date in every record; a parameter, since the bytes must not depend on the clock.
@@ -93,10 +93,10 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     sums, again = revisits(pages, folder)
-    shard, _ = common.id_ranges(sums, "id", F.col("size"), shard_bytes)
+    shard, shards = common.id_ranges(sums, "id", F.col("size"), shard_bytes)
     rows = pages.select(shard.alias("shard"), "id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
     links = again.select(shard.alias("shard"), "id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), "refers_to")
-    dealt = rows.union(links).repartition(common.partitions(spark), "shard").sortWithinPartitions("shard", F.asc_nulls_last("id"), "kind", "html", "url")
+    dealt = rows.union(links).repartition(common.partitions(spark, shards), "shard").sortWithinPartitions("shard", F.asc_nulls_last("id"), "kind", "html", "url")
     schema = pa.schema([("shard", pa.int64()), ("roll", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
