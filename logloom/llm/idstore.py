@@ -166,7 +166,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "tex
     schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        own, store, pack = encoder(path), common.Store(folder), zstandard.ZstdCompressor(level=LEVEL, dict_data=_zdict(shared.value))
+        own, store, prepared = encoder(path), common.Store(folder), _zdict(shared.value)
+        if prepared:
+            prepared.precompute_compress(level=LEVEL)  # else each document pays for it
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=prepared)
         end = np.array([end_id], own.kind).tobytes()
         out, shard, index, at = None, None, [], 0
 
