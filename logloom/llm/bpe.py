@@ -13,6 +13,7 @@ import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import pandas as pd
 import regex
@@ -125,14 +126,10 @@ class Vocabulary:
         words = [[find(part) if not k % 2 else part for k, part in enumerate(parts)] for parts in cut]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new: set[str] = set()
-        for parts in words:
-            for part in parts[::2]:
-                new.update(part)
-        new.difference_update(self.known)
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(part for parts in words for part in parts[::2])))
         self.learn(list(new))
-        known = self.known
-        return [b"".join([b"".join([known[w] for w in part]) if not k % 2 else special[part].to_bytes(4, "little") for k, part in enumerate(parts)]) for parts in words]
+        find = self.known.__getitem__
+        return [b"".join([b"".join(map(find, part)) if not k % 2 else special[part].to_bytes(4, "little") for k, part in enumerate(parts)]) for parts in words]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""

@@ -17,7 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +80,8 @@ class Encoder:
         known, before = self.known, self.before
         letters, marked, other = set(), [], []
         for chunk in new:
-            if (ids := before.get(chunk)) is not None:
-                known[chunk] = ids
+            if chunk in before:
+                known[chunk] = before[chunk]
             elif _WORD.fullmatch(chunk):
                 letters.add(chunk)
             elif chunk[-1:] in (b".", b",") and _WORD.fullmatch(chunk, 0, len(chunk) - 1):
@@ -110,19 +110,20 @@ class Encoder:
         for chunk in marked:
             known[chunk] = known[chunk[:-1]] + known[chunk[-1:]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str | bytes]) -> list[bytes]:
+        """The ids of each text (or its UTF-8) in :attr:`kind`."""
         whole: dict[int, bytes] = {}
         chunks = []
         for k, t in enumerate(texts):
-            data = t.encode("utf-8", "replace")
+            data = t.encode("utf-8", "replace") if isinstance(t, str) else t
             if any(s in data for s in self.starts):
-                whole[k], data = self._whole(t), b""
+                whole[k], data = self._whole(data.decode("utf-8", "replace")), b""
             chunks.append(data.lower().split())  # of bytes: ASCII letters, ASCII white space
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
-        self._learn(set().union(*chunks).difference(self.known))
-        known = self.known
-        return [whole[k] if k in whole else b"".join([known[c] for c in part]) for k, part in enumerate(chunks)]
+        self._learn(set(filterfalse(self.known.__contains__, chain.from_iterable(chunks))))
+        find = self.known.__getitem__
+        return [whole[k] if k in whole else b"".join(map(find, part)) for k, part in enumerate(chunks)]
 
 
 @lru_cache(maxsize=2)
@@ -161,7 +162,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "tex
     sha = hashlib.sha256(dictionary).hexdigest()
     common.Store(folder).put(f"dictionary-{sha}.zdict", dictionary)
     shard, shards = common.id_ranges(docs, "id", F.octet_length("t").cast("long"), shard_bytes)
-    dealt = docs.select(shard.alias("shard"), "id", "t").repartition(common.partitions(spark, shards), "shard").sortWithinPartitions("shard", F.asc_nulls_last("id"), "t")
+    dealt = docs.select(shard.alias("shard"), "id", F.col("t").cast("binary").alias("t")).repartition(common.partitions(spark, shards), "shard").sortWithinPartitions("shard", F.asc_nulls_last("id"), "t")
     shared = spark.sparkContext.broadcast(dictionary)
     schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 
@@ -183,7 +184,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "tex
             store.commit(temporary, name)
             return shard, name, len(rows), int(rows["n"].sum()), at
 
-        for block in common.blocks_of(common.rows_of(batches), 2):
+        for block in common.blocks_of(common.rows_of(batches), 2, 4 << 20):
             for (number, doc, _), ids in zip(block, own.encode([r[2] for r in block]), strict=True):
                 if number != shard:
                     if out:
