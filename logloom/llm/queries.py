@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, common, idstore, langid, mixing, quality, rollup, spotsigs, warc
+from . import bpe, common, idstore, langid, mixing, nearjoin, quality, rollup, spotsigs, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.fold() == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.join(common.read(spark, sf_dir, "documents"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch(spark, "token-ids")
     idstore.write(common.read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -71,7 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op4_warc, op5_spotsigs, op6_token_counts, op7_language_id, op9_token_ids, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op4_warc, op5_spotsigs, op6_token_counts, op7_language_id, op8_ngram_join, op9_token_ids, op10_bpe)}
 
 
 def _op1_sql() -> str:

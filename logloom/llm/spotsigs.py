@@ -16,38 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, hashing
 from .quality import STOP_WORDS
 
 #: Content words in a chain.
 CHAIN = 2
 SHARD_BYTES = 128 << 20
-_BASE = np.uint64(0x100000001B3)
-_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-_CLEAN = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word (lower case; runs of letters, digits and non-ASCII bytes) and its text's number."""
-    clean = [t.lower().encode("utf-8", "replace").translate(_CLEAN) + b" " for t in texts]
-    a = np.frombuffer(b" " + b"".join(clean), np.uint8)
-    if len(a) > len(_powers[0]):
-        n = 1 << len(a).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            _powers[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base))))
-    word = a != 32
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    start, end = edge[::2], edge[1::2]
-    sums = np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(a)])
-    h = _mix((sums[end - 1] - sums[start - 1]) * _powers[1][start] + (end - start).astype(np.uint64))
-    first = np.concatenate(([1], 1 + np.cumsum([len(c) for c in clean])))
-    return h, np.searchsorted(first, start, "right") - 1
+    """A hash for each word (lower case; runs of letters, digits and non-ASCII bytes) and its text's number."""
+    return hashing.words([t.lower().encode("utf-8", "replace") for t in texts], hashing.WORDS)
 
 
 def _chain(anchors: np.ndarray, at: np.ndarray, doc: np.ndarray, words: np.ndarray, owner: np.ndarray, chain: int) -> np.ndarray:
@@ -56,7 +35,7 @@ def _chain(anchors: np.ndarray, at: np.ndarray, doc: np.ndarray, words: np.ndarr
     there = owner[at] == doc
     at, doc, h = at[there], doc[there], anchors[there]
     for k in range(chain):
-        h = _mix(h * np.uint64(31) + np.where(owner[at + k] == doc, words[at + k], np.uint64(0)))
+        h = hashing.mix(h * np.uint64(31) + np.where(owner[at + k] == doc, words[at + k], np.uint64(0)))
     return np.unique(doc.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32))
 
 
