@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, common, idstore, langid, mixing, nearjoin, quality, rollup, spotsigs, warc
+from . import bpe, common, idstore, langid, mixing, nearjoin, quality, rollup, spotsigs, suffixdedup, warc
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove(common.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch(spark, "warc")
     warc.write(common.read(spark, sf_dir, "pages"), folder)
@@ -75,7 +80,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op4_warc, op5_spotsigs, op6_token_counts, op7_language_id, op8_ngram_join, op9_token_ids, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_suffix_dedup, op4_warc, op5_spotsigs, op6_token_counts, op7_language_id, op8_ngram_join, op9_token_ids, op10_bpe)}
 
 
 def _op1_sql() -> str:
