@@ -50,13 +50,18 @@ class Queues:
         self.file.seek(offset)
         return np.frombuffer(self.file.read(n * kind.itemsize), kind), np.frombuffer(self.file.read(n * other.itemsize), other)
 
-    def pop(self, character: int) -> tuple[np.ndarray, np.ndarray] | None:
-        if not self.blocks[character]:
-            return None
-        block = self.blocks[character].popleft()
-        if len(block) == 2:
-            self.held -= block[0].nbytes + block[1].nbytes
-        return self._get(block)
+    def pop(self, character: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray] | None:
+        """The next blocks of a queue as one, until they have ``most`` tuples; None if there are none."""
+        queue, parts, n = self.blocks[character], [], 0
+        while queue and n < most:
+            block = queue.popleft()
+            if len(block) == 2:
+                self.held -= block[0].nbytes + block[1].nbytes
+            parts.append(self._get(block))
+            n += len(parts[-1][0])
+        if len(parts) < 2:
+            return parts[0] if parts else None
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def all(self, character: int) -> tuple[np.ndarray, np.ndarray]:
         parts = [self._get(b) for b in self.blocks[character]]

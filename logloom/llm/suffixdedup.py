@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from . import common, hashing, induction
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 48
 #: Windows in a run at most (a power of two up to 64).
 RUN = 64
 HOT = 50_000
 #: Text hashed at once, and contexts sorted at once at about.
-BLOCK, SHARD = 2 << 20, 24 << 20
+BLOCK, SHARD = 2 << 20, 4_000_000
 
 _MARK, _ASK, _ASK_WINDOWS = 0, 1, 2
 
@@ -124,7 +124,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(anchor):
             held.append((anchor, context, np.array([r[0] for r in block], np.int64)[number], _pack(start, count, twice)))
             size += len(anchor)
-        if size > 2_000_000:
+        if size > 1_000_000:
             yield from flush(held)
             held, size = [], 0
     if held:
@@ -165,8 +165,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their questions to contexts, dealt by anchor, or by window for hot anchors."""
 
     def rows() -> Iterator[tuple]:
-        for doc, text, asked in common.rows_of(batches):
-            for one in asked:
+        for doc, text, known in common.rows_of(batches):
+            for one in known:
+                if one["kind"] == _MARK:
+                    continue
                 place = one["place"]
                 start, count = place >> 8, (place & 63) + 1
                 if one["kind"] == _ASK:
@@ -230,25 +232,26 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     in the same document. What repeats is judged on the input. A null text is empty; a document of under
     :data:`LENGTH` bytes loses nothing. Ids must be distinct; a row with a null id counts as id -2^63.
 
-    The documents are shuffled once by id; both joins below read that exchange.
+    The documents are shuffled once by id, and what is known of them once; the joins below read those exchanges again.
     """
     spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
     partitions = common.partitions(spark)
     found = docs.mapInArrow(_find_runs, _RUNS_SQL)
     known = found.repartition(partitions, "anchor").mapInArrow(_classify, _RUNS_SQL)
-    asked = known.where(F.col("kind") != _MARK).groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "kind")).alias("asked"))
-    contexts = docs.join(asked, "doc").select("doc", "bytes", "asked").mapInArrow(_cut, "key long, doc long, start long, bytes binary")
+    known = known.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "kind")).alias("known"))  # bounded by the document
+    contexts = docs.join(known, "doc").select("doc", "bytes", "known").mapInArrow(_cut, "key long, doc long, start long, bytes binary")
     shards = contexts.repartition(max(1, partitions // 2), "key").sortWithinPartitions("key")
     marks = shards.mapInArrow(_sort_shards, "doc long, start long, count long")
-    whole = known.where(F.col("kind") == _MARK).select("doc", F.shiftright("place", 8).alias("start"), (F.col("place").bitwiseAND(F.lit(63)) + 1).alias("count"))
-    spans = whole.union(marks).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
+    spans = marks.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for doc, data, own in common.rows_of(batches):
+            for doc, data, known, own in common.rows_of(batches):
                 removed: list[list[int]] = []
-                for start, end in sorted((m["start"], m["start"] + m["count"] - 1 + LENGTH) for m in own or ()):
+                found = [(m["place"] >> 8, (m["place"] >> 8) + (m["place"] & 63) + LENGTH) for m in known or () if m["kind"] == _MARK]
+                found += [(m["start"], m["start"] + m["count"] - 1 + LENGTH) for m in own or ()]
+                for start, end in sorted(found):
                     if removed and start <= removed[-1][1]:
                         removed[-1][1] = max(removed[-1][1], end)
                     else:
@@ -263,4 +266,4 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
         yield from common.batches_of(rows(), schema)
 
-    return docs.join(spans, "doc", "left").select("doc", "bytes", "marks").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
+    return docs.join(known, "doc", "left").join(spans, "doc", "left").select("doc", "bytes", "known", "marks").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
