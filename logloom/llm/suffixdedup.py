@@ -12,12 +12,11 @@ are covered. That is decided within a task before the shuffle, so a passage that
 row for each task. An anchor with more than :data:`HOT` different contexts is dealt by window instead of by anchor.
 """
 
-from __future__ import annotations
-
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -161,11 +160,16 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _CONTEXTS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
 
+def zip_columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their questions to contexts, dealt by anchor, or by window for hot anchors."""
 
     def rows() -> Iterator[tuple]:
-        for doc, text, known in common.rows_of(batches):
+        for doc, text, known in zip_columns(batches, "doc", "bytes", "known"):
             for one in known:
                 if one["kind"] == _MARK:
                     continue
@@ -225,8 +229,8 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary) and, for the
-    general use, the removed spans (start, end).
+    """The rows of ``df`` without ``text`` and with n_bytes, n_removed, n_spans (maximal removed runs), kept (binary)
+    and spans (start, end of each removed run). Columns of ``df`` of these names give way to the new ones.
 
     Removed is each byte that a window covers which also starts earlier: in a document of smaller id, or before it
     in the same document. What repeats is judged on the input. A null text is empty; a document of under
@@ -235,35 +239,64 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     The documents are shuffled once by id, and what is known of them once; the joins below read those exchanges again.
     """
     spark = df.sparkSession
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
+    made = ("n_bytes", "n_removed", "n_spans", "kept", "spans")
+    rest = [c for c in df.columns if c not in (text, *made)]
+    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"), *(F.col(f"`{c}`").alias(f"r{k}") for k, c in enumerate(rest)))
+    own = docs.select("doc", "bytes")
     partitions = common.partitions(spark)
-    found = docs.mapInArrow(_find_runs, _RUNS_SQL)
+    found = own.mapInArrow(_find_runs, _RUNS_SQL)
     known = found.repartition(partitions, "anchor").mapInArrow(_classify, _RUNS_SQL)
     known = known.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "kind")).alias("known"))  # bounded by the document
-    contexts = docs.join(known, "doc").select("doc", "bytes", "known").mapInArrow(_cut, "key long, doc long, start long, bytes binary")
+    contexts = docs.join(known, "doc").mapInArrow(_cut, "key long, doc long, start long, bytes binary")
     shards = contexts.repartition(max(1, partitions // 2), "key").sortWithinPartitions("key")
     marks = shards.mapInArrow(_sort_shards, "doc long, start long, count long")
     spans = marks.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for doc, data, known, own in common.rows_of(batches):
-                removed: list[list[int]] = []
-                found = [(m["place"] >> 8, (m["place"] >> 8) + (m["place"] & 63) + LENGTH) for m in known or () if m["kind"] == _MARK]
-                found += [(m["start"], m["start"] + m["count"] - 1 + LENGTH) for m in own or ()]
-                for start, end in sorted(found):
-                    if removed and start <= removed[-1][1]:
-                        removed[-1][1] = max(removed[-1][1], end)
-                    else:
-                        removed.append([start, end])
-                kept, at = [], 0
-                for start, end in removed:
-                    kept.append(data[at:start])
-                    at = end
-                kept.append(data[at:])
-                yield None if doc == -(1 << 63) else doc, len(data), sum(e - s for s, e in removed), len(removed), b"".join(kept), [{"start": s, "end": e} for s, e in removed]
-
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-        yield from common.batches_of(rows(), schema)
-
-    return docs.join(known, "doc", "left").join(spans, "doc", "left").select("doc", "bytes", "known", "marks").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>")
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        names = [*(f"r{k}" for k in range(len(rest))), *made]
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                rows = [_without(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("bytes", "known", "marks")), strict=True)]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), span))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[: len(rest)]), *columns], names=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join([*(f"r{k} {kinds[f'r{k}']}" for k in range(len(rest))), "n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"])
+    joined = docs.join(known, "doc", "left").join(spans, "doc", "left").mapInArrow(finish, schema)
+    return joined.select(*(F.col(f"r{k}").alias(c) for k, c in enumerate(rest)), *made)
+
+
+def _without(data: bytes, known: list | None, marks: list | None) -> tuple[int, int, int, bytes, list[dict]]:
+    """A document's figures, what is left of it and its removed runs, from the windows that repeat."""
+    removed: list[list[int]] = []
+    found = [(m["place"] >> 8, (m["place"] >> 8) + (m["place"] & 63) + LENGTH) for m in known or () if m["kind"] == _MARK]
+    found += [(m["start"], m["start"] + m["count"] - 1 + LENGTH) for m in marks or ()]
+    for start, end in sorted(found):
+        if removed and start <= removed[-1][1]:
+            removed[-1][1] = max(removed[-1][1], end)
+        else:
+            removed.append([start, end])
+    kept, at = [], 0
+    for start, end in removed:
+        kept.append(data[at:start])
+        at = end
+    kept.append(data[at:])
+    return len(data), sum(e - s for s, e in removed), len(removed), b"".join(kept), [{"start": s, "end": e} for s, e in removed]
+
+
+def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` with the repeated bytes taken out of ``text``; halves of characters at the cuts go too."""
+    found = remove(df, key, text)
+    whole = found.withColumn(text, valid_text("kept"))
+    return whole.select(*df.columns)
+
+
+def valid_text(column: str):
+    @F.pandas_udf("string")
+    def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([b.decode("utf-8", "ignore") for b in part.tolist()], dtype=object)
+
+    return udf(column)
