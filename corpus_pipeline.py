@@ -43,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids (little-endian unsigned 32-bit integers) of each row's text."""
+    common.small_batches(spark)
     encode = bpe.encode_column(public_tokenizers.path("byte_bpe_50k.json"))
     return docs.select("doc_id", "lang", "source", encode("text").alias("e")).select("doc_id", "lang", "source", "e.*")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import os
 import tempfile
 import uuid
@@ -16,7 +18,41 @@ from pyspark.sql import functions as F
 CELLS = 1 << 18
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of long texts at once: rows and bytes of an Arrow batch."""
+    rows, most = "spark.sql.execution.arrow.maxRecordsPerBatch", 2048
+    if not 0 < int(spark.conf.get(rows)) <= most:
+        spark.conf.set(rows, str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def release() -> None:
+    """Give a worker's free memory back to the machine; workers live on and other tasks need it."""
+    import ctypes
+
+    from . import hashing
+
+    hashing.forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def releasing(work):
+    """``work`` (a function of an iterator that yields) with :func:`release` at its end."""
+
+    @functools.wraps(work)
+    def wrapped(parts):
+        try:
+            yield from work(parts)
+        finally:
+            release()
+
+    return wrapped
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -27,6 +27,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def forget() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def words(texts: list[bytes], table: bytes = CHUNKS) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word and the number of its text. Words are what ``table`` leaves between spaces."""
     clean = [t.translate(table) + b" " for t in texts]

@@ -201,7 +201,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from common.batches_of(files(batches), schema)
 
-    listed = common.stored(dealt.mapInArrow(work, "shard long, file string, docs long, ids long, bytes long"), f"{folder}/listed")
+    listed = common.stored(dealt.mapInArrow(common.releasing(work), "shard long, file string, docs long, ids long, bytes long"), f"{folder}/listed")
     manifest, start = [], 0
     for row in sorted(listed.collect()):
         manifest.append(row.asDict() | {"start": start})
@@ -265,4 +265,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         yield from common.batches_of(rows(batches), schema)
 
     files = spark.createDataFrame(names, "file string, start long").repartition(min(len(names), common.partitions(spark)))
-    return files.mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.mapInArrow(common.releasing(work), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import common
+
 N = 4
 PLACES = 3
 #: Languages fit into the bits of one word.
@@ -146,12 +148,14 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     it has letters but no known n-gram. The model's size is bounded, so it is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    common.small_batches(df.sparkSession)
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             langs, scores = decide(shared.value, [None if t is None else t for t in part.tolist()])
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        common.release()
 
     out = df.withColumn("__lang", udf(F.col(text)))
     return out.select(*df.columns, F.col("__lang.lang_pred"), F.col("__lang.score"))

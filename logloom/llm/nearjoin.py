@@ -72,6 +72,7 @@ def signatures(bands: int, rows: int, n: int):
                 counts += c.tolist()
                 hashes += h
             yield pd.DataFrame({"n_grams": counts, "bands": hashes})
+        common.release()
 
     return udf
 
@@ -154,6 +155,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall
     """
     spark = docs.sparkSession
     folder = common.scratch(spark, "nearjoin")
+    common.small_batches(spark)
     bands, rows = bands_for(similarity, recall)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     signed = docs.select("doc_id", F.unhex(F.md5("t")).alias("digest"), signatures(bands, rows, n)("t").alias("s"))
@@ -189,7 +191,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall
 
         yield from common.batches_of(found(), kinds)
 
-    verified = common.stored(members.mapInArrow(work, "class_id long, links long, root long, blocks int"), f"{folder}/verified")
+    verified = common.stored(members.mapInArrow(common.releasing(work), "class_id long, links long, root long, blocks int"), f"{folder}/verified")
     counted = verified.groupBy("class_id").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
     across = verified.where("blocks > 1").select(F.col("class_id").alias("a"), F.col("root").alias("b"))
     if across.isEmpty():

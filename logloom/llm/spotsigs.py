@@ -141,4 +141,4 @@ def compare_next(df: DataFrame, key: str = "doc_id", text: str = "text", chain:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from common.batches_of(rows(batches), pa.schema(kinds))
 
-    return with_next(df, key, text).mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(df, key, text).mapInArrow(common.releasing(work), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -28,7 +28,7 @@ LENGTH, GRAM = 100, 48
 RUN = 64
 HOT = 50_000
 #: Text hashed at once, and contexts sorted at once at about.
-BLOCK, SHARD = 2 << 20, 4_000_000
+BLOCK, SHARD = 1 << 20, 3_500_000
 
 _MARK, _ASK, _ASK_WINDOWS = 0, 1, 2
 
@@ -123,7 +123,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(anchor):
             held.append((anchor, context, np.array([r[0] for r in block], np.int64)[number], _pack(start, count, twice)))
             size += len(anchor)
-        if size > 1_000_000:
+        if size > 500_000:
             yield from flush(held)
             held, size = [], 0
     if held:
@@ -240,16 +240,17 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     spark = df.sparkSession
     made = ("n_bytes", "n_removed", "n_spans", "kept", "spans")
+    common.small_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in (text, *made)]
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"), *(F.col(f"`{c}`").alias(f"r{k}") for k, c in enumerate(rest)))
     own = docs.select("doc", "bytes")
     partitions = common.partitions(spark)
-    found = own.mapInArrow(_find_runs, _RUNS_SQL)
-    known = found.repartition(partitions, "anchor").mapInArrow(_classify, _RUNS_SQL)
+    found = own.mapInArrow(common.releasing(_find_runs), _RUNS_SQL)
+    known = found.repartition(partitions, "anchor").mapInArrow(common.releasing(_classify), _RUNS_SQL)
     known = known.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "kind")).alias("known"))  # bounded by the document
-    contexts = docs.join(known, "doc").mapInArrow(_cut, "key long, doc long, start long, bytes binary")
+    contexts = docs.join(known, "doc").mapInArrow(common.releasing(_cut), "key long, doc long, start long, bytes binary")
     shards = contexts.repartition(max(1, partitions // 2), "key").sortWithinPartitions("key")
-    marks = shards.mapInArrow(_sort_shards, "doc long, start long, count long")
+    marks = shards.mapInArrow(common.releasing(_sort_shards), "doc long, start long, count long")
     spans = marks.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +265,7 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"r{k} {kinds[f'r{k}']}" for k in range(len(rest))), "n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"])
-    joined = docs.join(known, "doc", "left").join(spans, "doc", "left").mapInArrow(finish, schema)
+    joined = docs.join(known, "doc", "left").join(spans, "doc", "left").mapInArrow(common.releasing(finish), schema)
     return joined.select(*(F.col(f"r{k}").alias(c) for k, c in enumerate(rest)), *made)
 
 

@@ -138,7 +138,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from common.batches_of(files(batches), schema)
 
-    listed = common.stored(dealt.mapInArrow(work, "shard long, roll long, file string, records long, bytes long, sha256 string"), f"{folder}/listed")
+    listed = common.stored(dealt.mapInArrow(common.releasing(work), "shard long, roll long, file string, records long, bytes long, sha256 string"), f"{folder}/listed")
     manifest = [row.asDict() for row in sorted(listed.collect())]
     common.Store(folder).put("MANIFEST.json", json.dumps(manifest).encode())
     return manifest
@@ -201,4 +201,4 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
         yield from common.batches_of(rows(batches), pa.schema(fields))
 
     names = spark.createDataFrame([(f["file"],) for f in manifest], "file string")
-    return names.repartition(min(len(manifest), common.partitions(spark))).mapInArrow(work, kind)
+    return names.repartition(min(len(manifest), common.partitions(spark))).mapInArrow(common.releasing(work), kind)
