@@ -19,6 +19,8 @@ import pandas as pd
 import regex
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Unicode's white space, as the pattern's \s means it (Python's str.isspace also has four control characters).
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 # Fixed value: the pre-token pattern of byte-level vocabularies of this kind.
@@ -152,6 +154,7 @@ def encode_column(path: str, sums_only: bool = False):
 
     @F.pandas_udf(kind)
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common.claim(__name__, vocabulary.cache_clear)
         v = vocabulary(path)
         for part in parts:
             ids = v.encode([t or "" for t in part.tolist()])
@@ -161,6 +164,7 @@ def encode_column(path: str, sums_only: bool = False):
                 yield pd.DataFrame({"n_tokens": n, "ids_sha256": [s[0] for s in sums], "decoded_sha256": [s[1] for s in sums]})
             else:
                 yield pd.DataFrame({"n_tokens": n, "ids": ids})
+        common.release()
 
     return udf
 

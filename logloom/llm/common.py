@@ -7,7 +7,7 @@ import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -38,11 +38,25 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: What operators remember in a worker, by operator, and how to forget it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Called as a task of ``owner`` begins: what other operators remember in this worker is forgotten, so that the
+    stages of a pipeline, which share workers, do not add up."""
+    for name in [n for n in _remembered if n != owner]:
+        _remembered.pop(name)()
+    if forget is not None:
+        _remembered[owner] = forget
+
+
 def releasing(work):
-    """``work`` (a function of an iterator that yields) with :func:`release` at its end."""
+    """``work`` (a function of an iterator that yields) with :func:`claim` before and :func:`release` after it."""
 
     @functools.wraps(work)
     def wrapped(parts):
+        claim(work.__module__)
         try:
             yield from work(parts)
         finally:

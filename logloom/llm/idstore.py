@@ -167,6 +167,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "tex
     schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        common.claim(__name__, encoder.cache_clear)
         own, store, prepared = encoder(path), common.Store(folder), _zdict(shared.value)
         if prepared:
             prepared.precompute_compress(level=LEVEL)  # else each document pays for it

@@ -152,6 +152,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common.claim(__name__)
         for part in parts:
             langs, scores = decide(shared.value, [None if t is None else t for t in part.tolist()])
             yield pd.DataFrame({"lang_pred": langs, "score": scores})

@@ -65,6 +65,7 @@ def band_hashes(texts: list[bytes], bands: int, rows: int, n: int = WORDS) -> tu
 def signatures(bands: int, rows: int, n: int):
     @F.pandas_udf("n_grams long, bands array<long>")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common.claim(__name__)
         for part in parts:
             counts, hashes = [], []
             for block in common.blocks_of(((t or b"",) for t in part.tolist()), 0):

@@ -16,7 +16,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,9 +227,10 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _table(_MARKS, *repeated(docs, starts, parts))
 
 
-def remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without ``text`` and with n_bytes, n_removed, n_spans (maximal removed runs), kept (binary)
-    and spans (start, end of each removed run). Columns of ``df`` of these names give way to the new ones.
+def remove(df: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """The rows of ``df`` without ``text`` and with n_bytes, n_removed, n_spans (maximal removed runs), kept (binary;
+    with ``as_text`` a string, without the halves of characters at the cuts) and spans (start, end of each removed
+    run). Columns of ``df`` of these names give way to the new ones.
 
     Removed is each byte that a window covers which also starts earlier: in a document of smaller id, or before it
     in the same document. What repeats is judged on the input. A null text is empty; a document of under
@@ -260,11 +260,13 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
                 rows = [_without(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("bytes", "known", "marks")), strict=True)]
-                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), span))]
+                if as_text:
+                    rows = [(*r[:3], r[3].decode("utf-8", "ignore"), r[4]) for r in rows]
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), span))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[: len(rest)]), *columns], names=names)
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"r{k} {kinds[f'r{k}']}" for k in range(len(rest))), "n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"])
+    schema = ", ".join([*(f"r{k} {kinds[f'r{k}']}" for k in range(len(rest))), "n_bytes long, n_removed long, n_spans long", f"kept {'string' if as_text else 'binary'}", "spans array<struct<start: long, end: long>>"])
     joined = docs.join(known, "doc", "left").join(spans, "doc", "left").mapInArrow(common.releasing(finish), schema)
     return joined.select(*(F.col(f"r{k}").alias(c) for k, c in enumerate(rest)), *made)
 
@@ -289,15 +291,4 @@ def _without(data: bytes, known: list | None, marks: list | None) -> tuple[int,
 
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` with the repeated bytes taken out of ``text``; halves of characters at the cuts go too."""
-    found = remove(df, key, text)
-    whole = found.withColumn(text, valid_text("kept"))
-    return whole.select(*df.columns)
-
-
-def valid_text(column: str):
-    @F.pandas_udf("string")
-    def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([b.decode("utf-8", "ignore") for b in part.tolist()], dtype=object)
-
-    return udf(column)
+    return remove(df, key, text, as_text=True).withColumn(text, F.col("kept")).select(*df.columns)
