@@ -34,7 +34,7 @@ SHARD_BYTES, SAMPLE_DOCUMENTS, DICTIONARY_BYTES, LEVEL = 256 << 20, 600, 64 << 1
 #: Longer documents are not in the training sample, which keeps it bounded.
 SAMPLE_CHARS = 1 << 16
 #: Words that a worker remembers in each of two generations.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 
 
 #: Lower-case words of ASCII letters and of the letters U+00DF to U+00FF, in UTF-8.
@@ -52,11 +52,15 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # the same model for words that are folded and split already
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as source:
             file = json.load(source)
@@ -94,7 +98,7 @@ class Encoder:
         for low in range(0, len(words), 4096):
             part = words[low : low + 4096]
             joined = [b" ".join(part[k : k + 64]).decode() for k in range(0, len(part), 64)]
-            flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), self.kind)
+            flat = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)), self.kind)
             cuts = (np.flatnonzero(self.ends[flat]) + 1) * self.kind.itemsize
             if len(cuts) != len(part):
                 raise ValueError("this tokenizer splits words of letters")
