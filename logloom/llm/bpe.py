@@ -26,7 +26,7 @@ _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 # Fixed value: the pre-token pattern of byte-level vocabularies of this kind.
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Pre-tokens that a worker remembers, and characters of text that it handles at once.
-REMEMBERED, BLOCK = 600_000, 2_000_000
+REMEMBERED, BLOCK = 600_000, 500_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -27,7 +27,7 @@ LENGTH, GRAM = 100, 48
 RUN = 64
 HOT = 50_000
 #: Text hashed at once, and contexts sorted at once at about.
-BLOCK, SHARD = 1 << 20, 1_500_000
+BLOCK, SHARD = 1 << 19, 1_000_000
 
 _MARK, _ASK, _ASK_WINDOWS = 0, 1, 2
 
