@@ -158,7 +158,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
         common.release()
 
-    out = df.withColumn("__lang", udf(F.col(text)))
+    # nondeterministic for the optimizer only: a filter on the result would else be pushed below and run it twice
+    out = df.withColumn("__lang", udf.asNondeterministic()(F.col(text)))
     return out.select(*df.columns, F.col("__lang.lang_pred"), F.col("__lang.score"))
 
 
