@@ -151,7 +151,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall
     group).
 
     Null and wordless texts have no n-grams, so no links; equal ones are a class (nulls count as empty). A text of
-    fewer than ``n`` words is one n-gram. Rows of one id are one document. A row whose id is null is returned with
+    fewer than ``n`` words is one n-gram. Rows of one id are one document
+    (where their texts differ, links are those of the smallest). A row whose id is null is returned with
     null class and group and no links.
     """
     spark = docs.sparkSession
@@ -180,12 +181,13 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall
     dealt = common.stored(dealt, f"{folder}/dealt")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     members = docs.join(dealt, "doc_id").withColumn("p", F.explode(pairs)).select("label", "p.i", "p.j", "doc_id", "block", "blocks", "t")
-    members = members.repartition(common.partitions(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j")
+    members = members.repartition(common.partitions(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j", "doc_id", "t")
     kinds = pa.schema([("class_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
             for (_, i, j), group in common.runs_by_key(batches, 3):
+                group = list({r[3]: r for r in reversed(group)}.values())[::-1]  # repeated rows of an id: the first
                 ids, own, texts = [r[3] for r in group], [r[4] for r in group], [r[6] for r in group]
                 for one in verify(ids, own, texts, i == j, n, similarity):
                     yield (*one, group[0][5])
