@@ -242,14 +242,19 @@ def lookup(folder: str, file: str, number: int) -> np.ndarray:
     return np.frombuffer(unpack.decompress(frame), f"<u{foot['id_bytes']}").astype("<u4")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids (little-endian 32-bit), in each
-    file in order. Frames are read one at a time."""
+    file in order. Frames are read one at a time. ``with_ids=False`` leaves the last column out: a column that a
+    later select drops would still be sent from the Python worker."""
     manifest = json.loads(common.Store(folder).get("MANIFEST.json"))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    kinds = {"doc_id": ("long", pa.int64()), "start": ("long", pa.int64()), "n_tokens": ("long", pa.int64()), "ids_crc32": ("long", pa.int64())}
+    if with_ids:
+        kinds["ids"] = ("binary", pa.binary())
+    schema = pa.schema([(name, kind) for name, (_, kind) in kinds.items()])
+    in_sql = ", ".join(f"{name} {kind}" for name, (kind, _) in kinds.items())
     names = [(f["file"], f["start"]) for f in manifest["files"]]
     if not names:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+        return spark.createDataFrame([], in_sql)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         store = common.Store(folder)
@@ -263,11 +268,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 source.seek(0)
                 for (doc, null, at, n), end in zip(index.tolist(), ends, strict=True):
                     ids = np.frombuffer(unpack.decompress(source.read(end - at)), f"<u{foot['id_bytes']}").astype("<u4").tobytes()
-                    yield None if null else doc, start, n, zlib.crc32(ids), ids
+                    row = None if null else doc, start, n, zlib.crc32(ids)
+                    yield (*row, ids) if with_ids else row
                     start += n
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from common.batches_of(rows(batches), schema)
 
     files = spark.createDataFrame(names, "file string, start long").repartition(min(len(names), common.partitions(spark)))
-    return files.mapInArrow(common.releasing(work), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.mapInArrow(common.releasing(work), in_sql)

@@ -70,7 +70,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch(spark, "token-ids")
     idstore.write(common.read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return idstore.read(spark, folder).drop("ids")
+    return idstore.read(spark, folder, with_ids=False)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

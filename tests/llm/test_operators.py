@@ -229,6 +229,7 @@ def test_token_ids(spark, docs, nothing):
         data = np.array(ids, "<u4").tobytes()
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"], bytes(got[i]["ids"])) == (start, len(ids), zlib.crc32(data), data)
         start += len(ids)
+    assert {r["doc_id"]: tuple(r) for r in idstore.read(spark, folder, with_ids=False).collect()} == {i: tuple(r)[:-1] for i, r in got.items()}
     assert idstore.lookup(folder, manifest[0]["file"], 0).tolist() == [1]
     empty = common.scratch(spark, "test-ids")
     assert idstore.write(nothing, empty, WORD, end_id=1) == [] and idstore.read(spark, empty).count() == 0
