@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common, hashing
 from .components import components
+from .overlaps import Links, Overlaps
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Hash functions at most; more rows in a band mean fewer false candidates.
@@ -80,69 +81,26 @@ def signatures(bands: int, rows: int, n: int):
 
 def verify(ids: list[int], blocks: list[int], texts: list[bytes], same_block: bool, n: int, similarity: float) -> Iterator[tuple[int, int, int]]:
     """(id, its links, smallest id that it is linked to through others) for the linked of these classes. Pairs are
-    those within a block, or across two. Columns of n-grams that the same classes hold are one column with a weight,
-    so copies with few changes cost little."""
+    those within a block, or across two."""
     m = len(ids)
     grams, doc = [], []
     for low in range(0, m, 64):
         g, d = hashing.grams(texts[low : low + 64], n)
         grams.append(g)
         doc.append(d + low)
-    grams, doc = np.concatenate(grams), np.concatenate(doc)
-    order = np.lexsort((doc, grams))
-    grams, doc = grams[order], doc[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
-    grams, doc = grams[new], doc[new]
-    size = np.bincount(doc, minlength=m)
-    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, int)
-    held = np.diff(np.concatenate((first, [len(grams)])))
-    if not len(first):
-        return
-    marks = np.random.default_rng(7).integers(1, 1 << 63, m, dtype=np.uint64)
-    _, kept, weight = np.unique(np.where(held > 1, np.add.reduceat(marks[doc], first), np.uint64(0)), return_index=True, return_counts=True)
-    shared = held[kept] > 1
-    kept, weight = kept[shared], weight[shared]
-    first, held = first[kept], held[kept]
-    total = int(held.sum())
-    column = np.repeat(np.arange(len(kept)), held)
-    rows = doc[np.repeat(first - np.concatenate(([0], np.cumsum(held)[:-1])), held) + np.arange(total)] if total else np.zeros(0, int)
-    by_doc = np.argsort(rows, kind="stable")
-    doc_columns, cuts = column[by_doc], np.searchsorted(rows[by_doc], np.arange(m + 1))
-    starts = np.concatenate(([0], np.cumsum(held)))
-    block = np.array(blocks)
-    links, root = np.zeros(m, np.int64), list(range(m))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    found = Overlaps(np.concatenate(grams), np.concatenate(doc), m)
+    block, links, size = np.array(blocks), Links(m), found.size
     numerator = round(similarity * 1000)
     for i in range(m):
-        own = doc_columns[cuts[i] : cuts[i + 1]]
-        if not len(own):
+        both = found.count(i)
+        if both is None:
             continue
-        lengths = held[own]
-        at = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(int(lengths.sum()))
-        both = np.bincount(rows[at], np.repeat(weight[own], lengths), m).astype(np.int64)
         near = both * 1000 >= numerator * (size + size[i] - both)
         near[: i + 1] = False
         near &= (block == block[i]) if same_block else (block != block[i])
         if (partners := np.flatnonzero(near)).size:
-            links[i] += len(partners)
-            links[partners] += 1
-            for j in partners.tolist():
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-    least: dict[int, int] = {}
-    for i in np.flatnonzero(links).tolist():
-        r = find(i)
-        least[r] = min(least.get(r, ids[i]), ids[i])
-    for i in np.flatnonzero(links).tolist():
-        yield ids[i], int(links[i]), least[find(i)]
+            links.add(i, partners)
+    yield from links.rows(ids)
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -36,6 +36,11 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_next(common.read(spark, sf_dir, "documents"))
 
 
+def spotsigs_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links of a likeness of 0.8 or more between the fingerprints of the whole table."""
+    return spotsigs.join(common.read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert all documents under two tokenizer versions, delete later copies, then revise the counts of the first
     version to those without repeated lines. Each batch is sent twice; the second time changes nothing."""
@@ -80,7 +85,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_suffix_dedup, op4_warc, op5_spotsigs, op6_token_counts, op7_language_id, op8_ngram_join, op9_token_ids, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_suffix_dedup, op4_warc, op5_spotsigs, spotsigs_join, op6_token_counts, op7_language_id, op8_ngram_join, op9_token_ids, op10_bpe)}
 
 
 def _op1_sql() -> str:

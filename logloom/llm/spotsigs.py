@@ -3,12 +3,17 @@
 A signature is a common word (the anchor) and the chain of the next content words after it. A document's
 fingerprint is the set of its signatures, kept as sorted 32-bit hashes; likeness is the Jaccard index of two sets.
 A text in which no content word follows a common word is fingerprinted by the chains at each of its words.
+
+:func:`compare_next` compares given pairs. :func:`join` finds all pairs of a likeness: sets are partitioned by their
+length, so that a set meets its own partition and the one before; in a partition only sets that share one of their
+rarest signatures meet; and a pair is dropped at the first bound (lengths, places, an earlier meeting) that it breaks.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, hashing
+from .components import components
+from .overlaps import Links, Overlaps
 from .quality import STOP_WORDS
 
 #: Content words in a chain.
 CHAIN = 2
 SHARD_BYTES = 128 << 20
+SIMILARITY = 0.8
+#: Signatures are counted in this many cells (a power of two); all that the driver sees and broadcasts of them.
+CELLS = 1 << 18
+#: Sets and signatures in a block of sets that share a signature, at about.
+BLOCK_SETS, BLOCK_SIGNATURES = 1024, 1 << 20
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,3 +154,152 @@ def compare_next(df: DataFrame, key: str = "doc_id", text: str = "text", chain:
         yield from common.batches_of(rows(batches), pa.schema(kinds))
 
     return with_next(df, key, text).mapInArrow(common.releasing(work), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def edges(similarity: float, most: int = 1 << 32) -> np.ndarray:
+    """Where partitions of set lengths begin: a set and a longer one of this likeness lie in one partition or in two
+    that follow each other."""
+    numerator = round(similarity * 1000)
+    if not 0 < numerator < 1000:
+        raise ValueError("similarity lies between 0 and 1; sets of likeness 1 are classes")
+    found = [1]
+    while found[-1] <= most:
+        found.append(found[-1] * 1000 // numerator + 1)
+    return np.array(found, np.int64)
+
+
+def compare(ids: list[int], own: list[bool], at: list[int], blocks: list[int], sets: list[bytes], same_block: bool, similarity: float) -> Iterator[tuple[int, int, int]]:
+    """(id, its links, smallest id that it is linked to through others) for the linked of these sets, which share the
+    signature at the place ``at`` of each and come in order of length. Pairs are those within a block, or across two,
+    of which one set at least belongs to the partition; a pair with a common signature before ``at`` counts there."""
+    m, numerator = len(ids), round(similarity * 1000)
+    values = [np.frombuffer(s, "<u4") for s in sets]
+    place, size = np.array(at), np.array([len(v) for v in values])
+    number = np.arange(m)
+    before = Overlaps(np.concatenate([v[:k] for v, k in zip(values, at, strict=True)]), np.repeat(number, place), m)
+    after = Overlaps(np.concatenate([v[k:] for v, k in zip(values, at, strict=True)]), np.repeat(number, size - place), m)
+    block, mine, left, links = np.array(blocks), np.array(own), size - place, Links(m)
+    for i in range(m):
+        last = int(np.searchsorted(size, size[i] * 1000 // numerator, "right"))  # longer sets cannot be near
+        if last <= i + 1:
+            continue
+        may = np.minimum(left, left[i]) * (1000 + numerator) >= numerator * (size + size[i])
+        may[: i + 1] = False
+        may[last:] = False
+        may &= (block == block[i]) if same_block else (block != block[i])
+        if not mine[i]:
+            may &= mine
+        if not may.any():
+            continue
+        if (met := before.count(i)) is not None:
+            may &= met == 0
+        both = after.count(i)
+        if both is None:
+            continue
+        near = may & (both * (1000 + numerator) >= numerator * (size + size[i]))
+        if (partners := np.flatnonzero(near)).size:
+            links.add(i, partners)
+    yield from links.rows(ids)
+
+
+def join(docs: DataFrame, similarity: float = SIMILARITY, chain: int = CHAIN, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each document: doc_id, class_id (the smallest id with the same fingerprint), n_links (other classes
+    whose fingerprints have a Jaccard index of ``similarity`` or more, in thousandths) and group_id (the smallest id
+    of its connected group).
+
+    A null text is empty; texts without words are a class without links. Where rows of one id differ in their
+    fingerprints, links are those of one of them. A row whose id is null has null class and group and no links.
+
+    Each set goes to the partition of its length, and as a visitor to the one before if that holds sets near enough.
+    Its signatures are in one order for all sets, by the count of their cell (rarest first); two sets of the likeness
+    have a signature in common among the first n - ceil(similarity * n) + 1 of both, whatever the order. Sets that
+    meet in such a signature are compared in blocks, and each pair counts where it meets first.
+    """
+    spark, numerator = docs.sparkSession, round(similarity * 1000)
+    starts = edges(similarity)
+    folder = common.scratch(spark, "spotsigs")
+    common.small_batches(spark)
+    shift = np.uint32(32 - int(math.log2(CELLS)))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for block in common.blocks_of(common.rows_of(batches), 1):
+                keys = signatures([r[1] for r in block], chain)
+                cuts = np.searchsorted(keys, np.arange(len(block) + 1, dtype=np.uint64) << np.uint64(32))
+                low = keys.astype("<u4")
+                for k, (doc, _) in enumerate(block):
+                    data = low[cuts[k] : cuts[k + 1]].tobytes()
+                    yield doc, hashlib.md5(data).digest(), data
+
+        yield from common.batches_of(rows(), pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("sigs", pa.binary())]))
+
+    signed = common.stored(docs.mapInArrow(common.releasing(sign), "doc_id long, digest binary, sigs binary"), f"{folder}/signed")
+    firsts = signed.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("class_id is not null")
+    firsts = common.stored(firsts, f"{folder}/classes")
+    one = firsts.groupBy("class_id").agg(F.min("digest").alias("d"))
+    sets = signed.join(one, (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("d"))).where("length(sigs) > 0").select("class_id", "sigs").dropDuplicates(["class_id"])
+    sets = common.stored(sets, f"{folder}/sets")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for value in batch.column("sigs").to_pylist():
+                np.add.at(counts, np.frombuffer(value, "<u4") >> shift, 1)
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(counts[there], pa.int64())], names=["cell", "n"])
+
+    weights = np.zeros(CELLS, np.int64)
+    for cell, n in sets.select("sigs").mapInArrow(weigh, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
+        weights[cell] = n
+    shared = spark.sparkContext.broadcast(weights)
+
+    def arrange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            counts = shared.value
+            for class_id, data in common.rows_of(batches):
+                value = np.frombuffer(data, "<u4")
+                yield class_id, len(value), value[np.lexsort((value, counts[value >> shift]))].tobytes()
+
+        yield from common.batches_of(rows(), pa.schema([("class_id", pa.int64()), ("n", pa.int64()), ("sigs", pa.binary())]))
+
+    sets = common.stored(sets.mapInArrow(common.releasing(arrange), "class_id long, n long, sigs binary"), f"{folder}/ordered")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for class_id, n, data in common.rows_of(batches):
+                part = int(np.searchsorted(starts, n, "right")) - 1
+                visits = part > 0 and n * numerator <= (int(starts[part]) - 1) * 1000
+                first = np.frombuffer(data, "<u4")[: n - -(-n * numerator // 1000) + 1].tolist()
+                for at, sig in enumerate(first):
+                    yield part, sig, class_id, n, at, True
+                    if visits:
+                        yield part - 1, sig, class_id, n, at, False
+
+        yield from common.batches_of(rows(), pa.schema([("part", pa.int32()), ("sig", pa.int64()), ("class_id", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("own", pa.bool_())]))
+
+    met = common.stored(sets.mapInArrow(common.releasing(meet), "part int, sig long, class_id long, n long, at int, own boolean"), f"{folder}/met")
+    places = met.groupBy("part", "sig").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SIGNATURES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"), F.max("own").alias("any"))
+    places = common.stored(places.where("m > 1 and any").select("part", "sig", "blocks"), f"{folder}/places")
+    block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    dealt = met.join(places, ["part", "sig"]).withColumn("block", block).withColumn("p", F.explode(pairs)).select("part", "sig", "p.i", "p.j", "n", "class_id", "own", "at", "block")
+    dealt = dealt.join(sets.select("class_id", "sigs"), "class_id").select("part", "sig", "i", "j", "n", "class_id", "own", "at", "block", "sigs")
+    dealt = dealt.repartition(common.partitions(spark), "part", "sig", "i", "j").sortWithinPartitions("part", "sig", "i", "j", "n", "class_id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            for (_, _, i, j), group in common.runs_by_key(batches, 4):
+                _, _, _, _, _, ids, own, at, blocks, values = map(list, zip(*group, strict=True))
+                yield from compare(ids, own, at, blocks, values, i == j, similarity)
+
+        yield from common.batches_of(found(), pa.schema([("class_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
+
+    linked = common.stored(dealt.mapInArrow(common.releasing(work), "class_id long, links long, root long"), f"{folder}/linked")
+    groups = components(linked.select(F.col("class_id").alias("a"), F.col("root").alias("b")).distinct(), f"{folder}/groups")
+    counted = linked.groupBy("class_id").agg(F.sum("links").alias("n_links")).join(groups, F.col("class_id") == F.col("node"), "left").select("class_id", "n_links", F.col("label").alias("group_id"))
+    counted = common.stored(counted, f"{folder}/counted")
+    copied = common.stored(firsts.where("n > 1").select("digest", F.col("class_id").alias("of")), f"{folder}/copied")
+    out = signed.select("doc_id", "digest").join(copied, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("class_id"))
+    out = out.join(counted, "class_id", "left")
+    return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))

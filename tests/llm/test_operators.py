@@ -150,6 +150,41 @@ def test_spotsigs(spark, docs, nothing):
     assert spotsigs.compare_next(one).count() == 2
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_spotsigs_join(spark, docs, nothing, monkeypatch, block):
+    monkeypatch.setattr(spotsigs, "BLOCK_SETS", block)
+    rng = random.Random(5)
+    base = " ".join(f"{rng.choice(['the', 'of', 'and', 'is'])} w{k} v{k}" for k in range(90)).split()
+    near = [(1000 + k, " ".join([*base[: 3 * k], "new", *base[3 * k + 5 :]])) for k in range(25)]
+    cut = [(2000 + k, " ".join(base[: len(base) - 9 * k])) for k in range(1, 12)]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([*near, *cut, near[0]], "doc_id long, text string")).withColumn("sig", F.lit(1))
+    rows = sorted({*values(docs), *near, *cut}, key=lambda r: r[0])
+    prints = {i: frozenset(spotsigs.signatures([t or ""]).tolist()) for i, t in rows}
+    classes = {}
+    for i, _ in rows:
+        classes.setdefault(prints[i], i)
+    sets = {i: s for s, i in classes.items()}
+    links = {i: {j for j in sets if j != i and sets[i] | sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])} for i in sets}
+    group = {i: i for i in sets}
+    for _ in sets:
+        group = {i: min([group[i], *(group[j] for j in links[i])]) for i in sets}
+    want = {i: (classes[prints[i]], len(links[classes[prints[i]]]), group[classes[prints[i]]]) for i, _ in rows}
+    assert sum(map(len, links.values())) > 300
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["group_id"]) for r in spotsigs.join(more).collect()}
+    assert got == want
+    assert spotsigs.join(nothing).count() == 0
+    assert tuple(spotsigs.join(spark.createDataFrame([(None, "the a b c d e f")], "doc_id long, text string")).first()) == (None, None, 0, None)
+
+
+def test_partitions_of_lengths():
+    for similarity in (0.5, 0.8, 0.95):
+        starts = spotsigs.edges(similarity)
+        part = lambda n: int(np.searchsorted(starts, n, "right")) - 1  # noqa: E731, B023
+        for n in [*range(1, 300), 5_000, 10**6]:
+            longest = n * 1000 // round(similarity * 1000)
+            assert part(longest) - part(n) <= 1
+
+
 def test_rollup(spark):
     counts = spark.createDataFrame([("a", "en", "v1", 3), ("a", "en", "v1", 4), (None, "de", "v1", None)], "source string, lang string, tokenizer string, n_tokens long")
     store = rollup.Rollup(spark, common.scratch(spark, "test-rollup"))
