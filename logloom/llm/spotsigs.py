@@ -237,21 +237,18 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, chain: int = CHAIN, ke
     signed = common.stored(docs.mapInArrow(common.releasing(sign), "doc_id long, digest binary, sigs binary"), f"{folder}/signed")
     firsts = signed.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("class_id is not null")
     firsts = common.stored(firsts, f"{folder}/classes")
-    one = firsts.groupBy("class_id").agg(F.min("digest").alias("d"))
-    sets = signed.join(one, (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("d"))).where("length(sigs) > 0").select("class_id", "sigs").dropDuplicates(["class_id"])
-    sets = common.stored(sets, f"{folder}/sets")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for value in batch.column("sigs").to_pylist():
-                np.add.at(counts, np.frombuffer(value, "<u4") >> shift, 1)
+            values = [v for v in batch.column("sigs").to_pylist() if v]
+            counts += np.bincount(np.frombuffer(b"".join(values), "<u4") >> shift, minlength=CELLS)
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(counts[there], pa.int64())], names=["cell", "n"])
 
     weights = np.zeros(CELLS, np.int64)
-    for cell, n in sets.select("sigs").mapInArrow(weigh, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
-        weights[cell] = n
+    for cell, n in signed.select("sigs").mapInArrow(weigh, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
+        weights[cell] = min(n, (1 << 31) - 1)
     shared = spark.sparkContext.broadcast(weights)
 
     def arrange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,26 +258,34 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, chain: int = CHAIN, ke
                 value = np.frombuffer(data, "<u4")
                 yield class_id, len(value), value[np.lexsort((value, counts[value >> shift]))].tobytes()
 
-        yield from common.batches_of(rows(), pa.schema([("class_id", pa.int64()), ("n", pa.int64()), ("sigs", pa.binary())]))
+        yield from common.batches_of(rows(), pa.schema([("class_id", pa.int64()), ("n", pa.int32()), ("sigs", pa.binary())]))
 
-    sets = common.stored(sets.mapInArrow(common.releasing(arrange), "class_id long, n long, sigs binary"), f"{folder}/ordered")
+    one = firsts.groupBy("class_id").agg(F.min("digest").alias("d"))
+    sets = signed.join(one, (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("d"))).where("length(sigs) > 0").select("class_id", "sigs").dropDuplicates(["class_id"])
+    sets = common.stored(sets.mapInArrow(common.releasing(arrange), "class_id long, n int, sigs binary"), f"{folder}/ordered")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
+            counts = shared.value
             for class_id, n, data in common.rows_of(batches):
                 part = int(np.searchsorted(starts, n, "right")) - 1
                 visits = part > 0 and n * numerator <= (int(starts[part]) - 1) * 1000
-                first = np.frombuffer(data, "<u4")[: n - -(-n * numerator // 1000) + 1].tolist()
-                for at, sig in enumerate(first):
+                first = np.frombuffer(data, "<u4")[: n - -(-n * numerator // 1000) + 1]
+                for at, sig in enumerate((counts[first >> shift] << 32 | first).tolist()):
                     yield part, sig, class_id, n, at, True
                     if visits:
                         yield part - 1, sig, class_id, n, at, False
 
-        yield from common.batches_of(rows(), pa.schema([("part", pa.int32()), ("sig", pa.int64()), ("class_id", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("own", pa.bool_())]))
+        yield from common.batches_of(rows(), pa.schema([("part", pa.int32()), ("sig", pa.int64()), ("class_id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("own", pa.bool_())]))
 
-    met = common.stored(sets.mapInArrow(common.releasing(meet), "part int, sig long, class_id long, n long, at int, own boolean"), f"{folder}/met")
-    places = met.groupBy("part", "sig").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SIGNATURES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"), F.max("own").alias("any"))
-    places = common.stored(places.where("m > 1 and any").select("part", "sig", "blocks"), f"{folder}/places")
+    # sig holds the cell's count above the signature, so it is the common order; the meetings are made twice, not stored
+    met = sets.mapInArrow(common.releasing(meet), "part int, sig long, class_id long, n int, at int, own boolean")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SIGNATURES)).cast("int")
+    who = [F.bit_xor(F.xxhash64(F.lit(k), "class_id")).alias(f"who{k}") for k in (1, 2)]
+    places = met.groupBy("part", "sig").agg(size.alias("blocks"), F.count(F.lit(1)).alias("m"), F.max("own").alias("any"), *who).where("m > 1 and any")
+    # where the same sets meet in several signatures, all their pairs meet first in the first of these
+    places = places.groupBy("part", "m", "who1", "who2").agg(F.min(F.struct("sig", "blocks")).alias("p")).select("part", "p.*")
+    places = common.stored(places, f"{folder}/places")
     block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     dealt = met.join(places, ["part", "sig"]).withColumn("block", block).withColumn("p", F.explode(pairs)).select("part", "sig", "p.i", "p.j", "n", "class_id", "own", "at", "block")
