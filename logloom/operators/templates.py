@@ -105,11 +105,27 @@ def mine(messages: DataFrame, similarity: float = 0.4, depth: int = 4, max_child
             yield pd.DataFrame(out, columns=["miner", "seq", "message", "template", "change_type", "first_seq"])
 
     mined = dealt.mapInPandas(work, "miner string, seq long, message string, template string, change_type string, first_seq long")
-    clusters = mined.where("change_type = 'cluster_created'").select("miner", F.col("seq").alias("first_seq"))
-    ids = clusters.withColumn("cluster_id", F.row_number().over(Window.partitionBy("miner").orderBy("first_seq")).cast("long"))
+    ids = numbered(mined.where("change_type = 'cluster_created'").select("miner", F.col("seq").alias("first_seq")))
     return mined.join(ids, ["miner", "first_seq"]).select("miner", "seq", "message", "cluster_id", "template", "change_type")
 
 
+def numbered(clusters: DataFrame) -> DataFrame:
+    """(miner, first_seq, cluster_id) from (miner, first_seq): the place of each among its miner's, from 1.
+
+    Places are counted in cells of 2^20 sequence numbers and cells in cells of cells, so no task holds more than
+    2^24 rows for a miner, however many clusters it has. Sequence numbers must be distinct.
+    """
+    rows = clusters.select("miner", "first_seq", F.shiftright("first_seq", 20).alias("cell"), F.shiftright("first_seq", 40).alias("area"))
+    own = Window.partitionBy("miner", "area", "cell")
+    rows = rows.select("*", F.row_number().over(own.orderBy("first_seq")).alias("place"), F.count(F.lit(1)).over(own).alias("n"))
+    earlier = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    area = Window.partitionBy("miner", "area")
+    cells = rows.where("place = 1").select("miner", "area", "cell", earlier(area.orderBy("cell"), "n").alias("in_area"), F.sum("n").over(area).alias("n"), F.row_number().over(area.orderBy("cell")).alias("k"))
+    areas = cells.where("k = 1").select("miner", "area", earlier(Window.partitionBy("miner").orderBy("area"), "n").alias("in_miner"))
+    before = cells.join(areas, ["miner", "area"]).select("miner", "area", "cell", (F.col("in_miner") + F.col("in_area")).alias("before"))
+    return rows.join(before, ["miner", "area", "cell"]).select("miner", "first_seq", (F.col("before") + F.col("place")).alias("cluster_id"))
+
+
 def final_templates(mined: DataFrame) -> DataFrame:
     """miner, cluster_id, template (after the last message), size, first_seq."""
     return mined.groupBy("miner", "cluster_id").agg(F.max_by("template", "seq").alias("template"), F.count(F.lit(1)).alias("size"), F.min("seq").alias("first_seq"))

@@ -230,6 +230,16 @@ _LINES_SQL = r"""l AS (SELECT doc_id::VARCHAR AS source_file, i::BIGINT AS line_
     FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS p FROM documents WHERE text IS NOT NULL))))"""
 
 
+# The parser chain over lines, and how many fields the first that fits finds.
+_PARSED_SQL = r"""g AS (SELECT *, length(content) - length(replace(content, ',', '')) AS commas,
+  len(regexp_extract_all(content, '(?:^|,)(?:"(?:[^"]|"")*"|[^,"]*)')) AS quoted, regexp_extract_all(content, '([\p{L}\p{N}_]+)=(?:"([^"]*)"|(\S+))', 1) AS kv FROM l WHERE content <> ''),
+p AS (SELECT *, CASE WHEN content LIKE '{%' AND json_valid(content) THEN 'JSONParser' WHEN commas > 0 AND (content NOT LIKE '%"%' OR quoted > 1) THEN 'CSVParser'
+  WHEN regexp_matches(content, '^CEF:\d+(\|[^|]*){6}\|') THEN 'CEFParser' WHEN len(kv) >= 3 THEN 'KeyValueParser'
+  WHEN regexp_matches(content, '^\S+ \S+ \S+ \[[^\]]+\] "[^"]*" \d+ \S+') THEN 'apache_clf'
+  WHEN regexp_matches(content, '^[\p{L}\p{N}_]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\S+\s+\S+\[\d+\]:\s+') THEN 'syslog'
+  WHEN regexp_matches(content, '^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}(\s+\S+){4}\s+') THEN 'fortinet' ELSE 'FallbackParser' END AS parser_name FROM g)"""
+
+
 def oracle_sql() -> dict[str, str]:
     with_lines = f"WITH {_LINES_SQL} "
     return {
@@ -249,6 +259,9 @@ SELECT page_id, k[i] AS key, arg_max(CASE WHEN coalesce(q[i], '') <> '' THEN q[i
         "lines": with_lines + "SELECT * FROM l",
         "not_blank_lines": with_lines + "SELECT source_file, count(*) AS n FROM l WHERE content <> '' GROUP BY source_file",
         "line_lookup": with_lines + "SELECT source_file, content FROM l WHERE line_number = 2",
+        "parser_distribution": f"WITH {_LINES_SQL}, {_PARSED_SQL} SELECT parser_name, count(*) AS n FROM p GROUP BY parser_name",
+        "parse_records": f"""WITH {_LINES_SQL}, {_PARSED_SQL} SELECT source_file, line_number, parser_name, CASE parser_name WHEN 'JSONParser' THEN len(json_keys(content)) WHEN 'CSVParser' THEN CASE WHEN content LIKE '%"%' THEN quoted ELSE commas + 1 END
+WHEN 'CEFParser' THEN 7 + len(list_distinct(regexp_extract_all(content, '([\\p{{L}}\\p{{N}}_]+)=', 1))) WHEN 'KeyValueParser' THEN len(list_distinct(kv)) WHEN 'apache_clf' THEN 5 WHEN 'syslog' THEN 5 WHEN 'fortinet' THEN 6 ELSE 1 END::BIGINT AS n_fields FROM p""",
         "key_union": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key",
         "field_anonymization": f"SELECT event_id, left(sha256('{patterns.FIELD_SALT}' || user_id::VARCHAR), 16) AS user_hash, event_type AS kind FROM events",
         "event_templates": "SELECT event_type || ' by user with value ' || CASE WHEN count(DISTINCT user_id) > 1 THEN '<*>' ELSE min(user_id)::VARCHAR END AS template, count(*) AS size, min(event_id) AS first_seq FROM events GROUP BY event_type",

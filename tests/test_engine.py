@@ -99,6 +99,14 @@ def test_parallel_mining_equals_sequential(spark):
     assert max(r["cluster_size"] for r in templates.running_size(mined).collect()) == max(r["size"] for r in templates.final_templates(mined).collect())
 
 
+def test_numbers_of_clusters(spark):
+    rng = random.Random(4)
+    seqs = sorted({rng.randrange(0, 1 << 22) for _ in range(60)} | {rng.randrange(0, 1 << 62) for _ in range(60)} | {(1 << 41) + k for k in range(40)} | {0, (1 << 20) - 1, 1 << 20})
+    rows = [("a", s) for s in seqs] + [("b", s) for s in seqs[::3]]
+    got = {(r["miner"], r["first_seq"]): r["cluster_id"] for r in templates.numbered(spark.createDataFrame(rng.sample(rows, len(rows)), "miner string, first_seq long")).collect()}
+    assert got == {("a", s): k for k, s in enumerate(seqs, 1)} | {("b", s): k for k, s in enumerate(seqs[::3], 1)}
+
+
 def test_known_template():
     miner = templates.Miner()
     head = "- {} 2005.06.03 R02-M1-N0-C:J12-U11 {} R02-M1-N0-C:J12-U11 RAS KERNEL INFO instruction cache parity error corrected"
