@@ -143,6 +143,16 @@ def coverage(mined: DataFrame) -> DataFrame:
     return templates.select("*", F.round(share, 6).alias("percentage"), F.regexp_count("template", F.lit("<\\*>")).alias("wildcards"))
 
 
+def by_file(mined: DataFrame, files: DataFrame) -> DataFrame:
+    """Messages of each cluster in each file, and in all files (a null source_file with ``overall`` true), from
+    ``files`` (miner, seq, source_file): one shuffle of counts for both levels. Messages without a file count as
+    a file of null, with ``overall`` false."""
+    rows = mined.select("miner", "seq", "cluster_id").join(files.select("miner", F.col("seq").cast("long").alias("seq"), "source_file"), ["miner", "seq"], "left")
+    sets = [["miner", "source_file", "cluster_id"], ["miner", "cluster_id"]]
+    counts = rows.groupingSets([[F.col(c) for c in one] for one in sets], "miner", "source_file", "cluster_id")
+    return counts.agg((F.grouping("source_file") == 1).alias("overall"), F.count(F.lit(1)).alias("n"))
+
+
 def coverage_summary(covered: DataFrame, high: float = 10.0, low: float = 1.0) -> DataFrame:
     """Counts of templates of high, medium and low coverage (bounds are ours) and the percentages' range."""
     p = F.col("percentage")

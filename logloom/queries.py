@@ -149,9 +149,18 @@ def template_summary(spark, sf):
     return templates.coverage_summary(templates.coverage(templates.mine(_messages(spark, sf))))
 
 
+def _event_messages(spark, sf):
+    return _t(spark, sf, "events").select(F.lit("events").alias("miner"), F.col("event_id").alias("seq"), F.concat_ws(" ", "event_type", F.lit("by user with value"), F.col("user_id").cast("string")).alias("message"), F.concat(F.lit("day-"), F.dayofmonth("ts")).alias("source_file"))
+
+
+def template_by_file(spark, sf):
+    rows = _event_messages(spark, sf)
+    return templates.by_file(templates.mine(rows), rows)
+
+
 def event_templates(spark, sf):
     """Templates of short machine messages that SQL can state: all have one shape, so there is one cluster for each type."""
-    rows = _t(spark, sf, "events").select(F.lit("events").alias("miner"), F.col("event_id").alias("seq"), F.concat_ws(" ", "event_type", F.lit("by user with value"), F.col("user_id").cast("string")).alias("message"))
+    rows = _event_messages(spark, sf)
     return templates.final_templates(templates.mine(rows)).select("template", "size", "first_seq")
 
 
@@ -217,7 +226,7 @@ def error_frequencies(spark, sf):
 _ALL = (
     pii_counts_by_lang, redact_email, redact_ip, mask_credit_card, hash_key, content_hash, record_id, json_payload, json_parser, kv_pairs, csv_fields, lines, not_blank_lines, line_lookup,
     parser_distribution, parse_records, key_union, anonymize_documents, entity_counts, classic_anonymization, field_anonymization, recognizer_catalogue, template_mine, template_coverage, template_summary,
-    event_templates, analysis_records, template_csv, security_flags, csv_family, field_kinds, normalize_times, search_index, percentile_stats, top_k, grouping_sets, running_count, error_frequencies,
+    event_templates, template_by_file, analysis_records, template_csv, security_flags, csv_family, field_kinds, normalize_times, search_index, percentile_stats, top_k, grouping_sets, running_count, error_frequencies,
 )
 
 
@@ -265,6 +274,9 @@ WHEN 'CEFParser' THEN 7 + len(list_distinct(regexp_extract_all(content, '([\\p{{
         "key_union": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key",
         "field_anonymization": f"SELECT event_id, left(sha256('{patterns.FIELD_SALT}' || user_id::VARCHAR), 16) AS user_hash, event_type AS kind FROM events",
         "event_templates": "SELECT event_type || ' by user with value ' || CASE WHEN count(DISTINCT user_id) > 1 THEN '<*>' ELSE min(user_id)::VARCHAR END AS template, count(*) AS size, min(event_id) AS first_seq FROM events GROUP BY event_type",
+        "template_by_file": """WITH f AS (SELECT event_type, min(event_id) AS first FROM events GROUP BY event_type), c AS (SELECT event_type, row_number() OVER (ORDER BY first) AS cluster_id FROM f)
+SELECT miner, source_file, cluster_id, grouping(source_file) = 1 AS overall, count(*) AS n FROM (SELECT 'events' AS miner, 'day-' || day(ts) AS source_file, cluster_id FROM events JOIN c USING (event_type))
+GROUP BY GROUPING SETS ((miner, source_file, cluster_id), (miner, cluster_id))""",
         "template_csv": "SELECT event_id AS LineId, coalesce(json_extract_string(props, '$.k'), '') AS k, props AS Content, 'E-1' AS EventId, '<NO_TEMPLATE>' AS EventTemplate FROM events",
         "security_flags": """SELECT page_id, regexp_matches(lower(html), 'error|fail|critical|fatal') AS has_errors, regexp_matches(lower(html), 'warn') AS has_warnings,
 CASE WHEN regexp_matches(lower(html), 'error|fail|critical|fatal') THEN 'high' WHEN regexp_matches(lower(html), 'warn') THEN 'medium' ELSE 'low' END AS severity_level,

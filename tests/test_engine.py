@@ -107,6 +107,13 @@ def test_numbers_of_clusters(spark):
     assert got == {("a", s): k for k, s in enumerate(seqs, 1)} | {("b", s): k for k, s in enumerate(seqs[::3], 1)}
 
 
+def test_clusters_by_file(spark):
+    mined = spark.createDataFrame([("m", 1, 1), ("m", 2, 1), ("m", 3, 2), ("m", 4, 1)], "miner string, seq long, cluster_id long")
+    files = spark.createDataFrame([("m", 1, "a"), ("m", 2, "b"), ("m", 3, "a")], "miner string, seq long, source_file string")
+    got = {(r["source_file"], r["cluster_id"], r["overall"], r["n"]) for r in templates.by_file(mined, files).collect()}
+    assert got == {("a", 1, False, 1), ("b", 1, False, 1), (None, 1, False, 1), ("a", 2, False, 1), (None, 1, True, 3), (None, 2, True, 1)}
+
+
 def test_known_template():
     miner = templates.Miner()
     head = "- {} 2005.06.03 R02-M1-N0-C:J12-U11 {} R02-M1-N0-C:J12-U11 RAS KERNEL INFO instruction cache parity error corrected"
