@@ -285,6 +285,25 @@ def test_encoders_equal_the_library(text):
         assert np.frombuffer(own.encode([x])[0], own.kind).tolist() == w.encode(x, add_special_tokens=False).ids
 
 
+def test_word_ids_of_marks_that_compose_only_in_lower_case():
+    w, own = Tokenizer.from_file(WORD), idstore.encoder(WORD)
+    for pair in ("H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c"):
+        for x in (pair, f"The {pair}ouse. A {pair.lower()} B", f"x{pair}\u0323 Éa", f"J\u0323{pair[1]}"):
+            assert np.frombuffer(own.encode([x])[0], own.kind).tolist() == w.encode(x, add_special_tokens=False).ids, ascii(x)
+
+
+def test_only_marks_from_u0300_to_u037f_compose_with_ascii():
+    import sys
+    import unicodedata
+
+    letters = [chr(c) for c in range(65, 91)]
+    other = [chr(c) for c in range(128, sys.maxunicode + 1) if not 0x300 <= c < 0x380 and (unicodedata.combining(chr(c)) or unicodedata.decomposition(chr(c)))]
+    for a in letters:
+        for c in other:
+            assert unicodedata.normalize("NFC", a + c)[0] == a, ascii(c)
+            assert unicodedata.normalize("NFC", a.lower() + c)[0] == a.lower(), ascii(c)
+
+
 def test_bpe_columns(docs, nothing):
     t = Tokenizer.from_file(BYTE)
     rows = docs.select("doc_id", "text", bpe.encode_column(BYTE)("text").alias("e"))
