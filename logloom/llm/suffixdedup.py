@@ -94,8 +94,13 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 8, (place & 63) + 1, (place >> 7 & 1).astype(bool)
 
 
-_RUNS = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("kind", pa.int32())])
-_RUNS_SQL = "anchor long, context long, doc long, place long, kind int"
+_RUNS = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("place", pa.int64()), ("kind", pa.int32())])
+_RUNS_SQL = "anchor long, context long, doc long, twin long, place long, kind int"
+
+
+def _in_order(place: np.ndarray, doc: np.ndarray, twin: np.ndarray, *groups: np.ndarray) -> np.ndarray:
+    """The order by the last group first, then by id, twin and place."""
+    return np.lexsort((place, twin, doc, *groups) if twin.any() else (place, doc, *groups))
 
 
 def _table(schema: pa.Schema, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -104,23 +109,24 @@ def _table(schema: pa.Schema, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of documents (id, bytes). Of equal contexts in this task only the first is sent as a run; the others are
+    """Runs of documents (id, twin, bytes). Of equal contexts in this task only the first is sent as a run; the others are
     sent as marks, dealt evenly."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        anchor, context, doc, place = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((place, doc, context, anchor))
-        anchor, context, doc, place = anchor[order], context[order], doc[order], place[order]
+        anchor, context, doc, twin, place = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = _in_order(place, doc, twin, context, anchor)
+        anchor, context, doc, twin, place = (c[order] for c in (anchor, context, doc, twin, place))
         again = np.zeros(len(anchor), bool)
         again[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
         spread = hashing.mix(doc.view(np.uint64) * np.uint64(31) + place.view(np.uint64)).view(np.int64)
-        yield from _table(_RUNS, np.where(again, spread, anchor.view(np.int64)), context.view(np.int64), doc, place, np.where(again, _MARK, _ASK).astype(np.int32))
+        yield from _table(_RUNS, np.where(again, spread, anchor.view(np.int64)), context.view(np.int64), doc, twin, place, np.where(again, _MARK, _ASK).astype(np.int32))
 
     held, size = [], 0
-    for block in common.blocks_of(common.rows_of(batches), 1, BLOCK):
-        anchor, context, number, start, count, twice = runs([r[1] for r in block])
+    for block in common.blocks_of(common.rows_of(batches), 2, BLOCK):
+        anchor, context, number, start, count, twice = runs([r[2] for r in block])
         if len(anchor):
-            held.append((anchor, context, np.array([r[0] for r in block], np.int64)[number], _pack(start, count, twice)))
+            doc, twin = (np.array([r[k] for r in block], np.int64)[number] for k in (0, 1))
+            held.append((anchor, context, doc, twin, _pack(start, count, twice)))
             size += len(anchor)
         if size > 500_000:
             yield from flush(held)
@@ -135,14 +141,14 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [[c.to_numpy() for c in b.columns] for b in batches]
     if not parts:
         return
-    anchor, context, doc, place, kind = (np.concatenate(c) for c in zip(*parts, strict=True))
+    anchor, context, doc, twin, place, kind = (np.concatenate(c) for c in zip(*parts, strict=True))
     marked = kind == _MARK
-    yield from _table(_RUNS, *(c[marked] for c in (anchor, context, doc, place, kind)))
-    anchor, context, doc, place = (c[~marked] for c in (anchor, context, doc, place))
+    yield from _table(_RUNS, *(c[marked] for c in (anchor, context, doc, twin, place, kind)))
+    anchor, context, doc, twin, place = (c[~marked] for c in (anchor, context, doc, twin, place))
     if not len(anchor):
         return
-    order = np.lexsort((place, doc, context, anchor))
-    anchor, context, doc, place = anchor[order], context[order], doc[order], place[order]
+    order = _in_order(place, doc, twin, context, anchor)
+    anchor, context, doc, twin, place = (c[order] for c in (anchor, context, doc, twin, place))
     other = np.ones(len(anchor), bool)
     other[1:] = anchor[1:] != anchor[:-1]
     first = other.copy()
@@ -153,10 +159,10 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = np.where(contexts > HOT, _ASK_WINDOWS, _ASK).astype(np.int32)
     kind[~first] = _MARK
     chosen = ask | ~first
-    yield from _table(_RUNS, *(c[chosen] for c in (anchor, context, doc, place, kind)))
+    yield from _table(_RUNS, *(c[chosen] for c in (anchor, context, doc, twin, place, kind)))
 
 
-_CONTEXTS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+_CONTEXTS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
 
 def zip_columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
@@ -168,63 +174,64 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their questions to contexts, dealt by anchor, or by window for hot anchors."""
 
     def rows() -> Iterator[tuple]:
-        for doc, text, known in zip_columns(batches, "doc", "bytes", "known"):
+        for doc, twin, text, known in zip_columns(batches, "doc", "twin", "bytes", "known"):
             for one in known:
                 if one["kind"] == _MARK:
                     continue
                 place = one["place"]
                 start, count = place >> 8, (place & 63) + 1
                 if one["kind"] == _ASK:
-                    yield one["anchor"], doc, start, text[start : start + count - 1 + LENGTH]
+                    yield one["anchor"], doc, twin, start, text[start : start + count - 1 + LENGTH]
                 else:
                     for s in range(start, start + count):
                         window = text[s : s + LENGTH]
-                        yield int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), doc, s, window
+                        yield int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), doc, twin, s, window
 
     yield from common.batches_of(rows(), _CONTEXTS)
 
 
-_MARKS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("count", pa.int64())])
+_MARKS = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("start", pa.int64()), ("count", pa.int64())])
 
 
-def repeated(docs: list[int], starts: list[int], parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, count) of runs of windows in these contexts that also start earlier in one of them."""
+def repeated(docs: list[int], twins: list[int], starts: list[int], parts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, twin, start, count) of runs of windows in these contexts that also start earlier in one of them."""
     at, shared, begins = induction.suffixes(parts, length)
     part = np.searchsorted(begins, at, "right") - 1
     valid = (part < len(parts)) & (at + length < np.append(begins, begins[-1])[part + 1])
     interval = np.cumsum(shared < length)
     at, part, interval = at[valid], part[valid], interval[valid]
-    doc, start = np.array(docs, np.int64)[part], np.array(starts, np.int64)[part] + at - begins[part]
-    order = np.lexsort((start, doc, interval))
+    doc, twin, start = np.array(docs, np.int64)[part], np.array(twins, np.int64)[part], np.array(starts, np.int64)[part] + at - begins[part]
+    order = _in_order(start, doc, twin, interval)
     later = order[1:][interval[order[1:]] == interval[order[:-1]]]
     place = np.sort(at[later])
     # one document's window may stand in two contexts only if they overlap: equal ids and starts are no repeat
     if not len(place):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     head = np.ones(len(place), bool)
     head[1:] = place[1:] != place[:-1] + 1
     heads = np.flatnonzero(head)
     counts = np.diff(np.concatenate((heads, [len(place)])))
     owner = np.searchsorted(begins, place[heads], "right") - 1
-    return np.array(docs, np.int64)[owner], np.array(starts, np.int64)[owner] + place[heads] - begins[owner], counts
+    return np.array(docs, np.int64)[owner], np.array(twins, np.int64)[owner], np.array(starts, np.int64)[owner] + place[heads] - begins[owner], counts
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort the contexts of this partition, which come in order of their keys, in shards that no key is cut by."""
-    docs, starts, parts, size = [], [], [], 0
+    docs, twins, starts, parts, size = [], [], [], [], 0
     for _, group in common.runs_by_key(batches, 1):
-        if len(group) == 1 and len(group[0][3]) == LENGTH:
+        if len(group) == 1 and len(group[0][4]) == LENGTH:
             continue
         if size >= SHARD:
-            yield from _table(_MARKS, *repeated(docs, starts, parts))
-            docs, starts, parts, size = [], [], [], 0
-        for _, doc, start, data in group:
+            yield from _table(_MARKS, *repeated(docs, twins, starts, parts))
+            docs, twins, starts, parts, size = [], [], [], [], 0
+        for _, doc, twin, start, data in group:
             docs.append(doc)
+            twins.append(twin)
             starts.append(start)
             parts.append(data)
             size += len(data)
     if parts:
-        yield from _table(_MARKS, *repeated(docs, starts, parts))
+        yield from _table(_MARKS, *repeated(docs, twins, starts, parts))
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
@@ -234,7 +241,9 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool
 
     Removed is each byte that a window covers which also starts earlier: in a document of smaller id, or before it
     in the same document. What repeats is judged on the input. A null text is empty; a document of under
-    :data:`LENGTH` bytes loses nothing. Ids must be distinct; a row with a null id counts as id -2^63.
+    :data:`LENGTH` bytes loses nothing. Rows that agree in id and text are one document: each of them loses what that
+    document loses. Different texts of one id are documents that follow each other by their digests (twins). A null
+    id counts as id -2^63.
 
     The documents are shuffled once by id, and what is known of them once; the joins below read those exchanges again.
     """
@@ -243,15 +252,25 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool
     common.small_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in (text, *made)]
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"), *(F.col(f"`{c}`").alias(f"r{k}") for k, c in enumerate(rest)))
-    own = docs.select("doc", "bytes")
+    again = common.stored(docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", F.lit(True).alias("again")), common.scratch(spark, "repeated-ids"))
+    if again.isEmpty():
+        by, docs = ["doc"], docs.withColumn("twin", F.lit(0).cast("long"))
+        own = docs.select("doc", "twin", "bytes")
+    else:
+        digest = F.conv(F.left(F.sha2("bytes", 256), F.lit(15)), 16, 10).cast("long")
+        by, docs = ["doc", "twin"], docs.join(again, "doc", "left").withColumn("twin", F.when(F.col("again"), digest).otherwise(F.lit(0).cast("long")))
+        rows = docs.select("doc", "twin", "bytes", "again")
+        own = rows.where("again is null").union(rows.where("again").dropDuplicates(by)).drop("again")
+        docs = docs.drop("again")
     partitions = common.partitions(spark)
     found = own.mapInArrow(common.releasing(_find_runs), _RUNS_SQL)
     known = found.repartition(partitions, "anchor").mapInArrow(common.releasing(_classify), _RUNS_SQL)
-    known = known.groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "kind")).alias("known"))  # bounded by the document
-    contexts = docs.join(known, "doc").mapInArrow(common.releasing(_cut), "key long, doc long, start long, bytes binary")
+    known = known.groupBy(*by).agg(F.collect_list(F.struct("anchor", "place", "kind")).alias("known"))  # bounded by the document
+    texts = docs if by == ["doc"] else own  # the same exchange where ids are distinct
+    contexts = texts.join(known, by).mapInArrow(common.releasing(_cut), "key long, doc long, twin long, start long, bytes binary")
     shards = contexts.repartition(max(1, partitions // 2), "key").sortWithinPartitions("key")
-    marks = shards.mapInArrow(common.releasing(_sort_shards), "doc long, start long, count long")
-    spans = marks.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
+    marks = shards.mapInArrow(common.releasing(_sort_shards), "doc long, twin long, start long, count long")
+    spans = marks.groupBy(*by).agg(F.collect_list(F.struct("start", "count")).alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -267,7 +286,7 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"r{k} {kinds[f'r{k}']}" for k in range(len(rest))), "n_bytes long, n_removed long, n_spans long", f"kept {'string' if as_text else 'binary'}", "spans array<struct<start: long, end: long>>"])
-    joined = docs.join(known, "doc", "left").join(spans, "doc", "left").mapInArrow(common.releasing(finish), schema)
+    joined = docs.join(known, by, "left").join(spans, by, "left").mapInArrow(common.releasing(finish), schema)
     return joined.select(*(F.col(f"r{k}").alias(c) for k, c in enumerate(rest)), *made)
 
 

@@ -100,6 +100,29 @@ def test_suffix_dedup(docs, nothing, monkeypatch):
     assert suffixdedup.clean(docs).columns == docs.columns
 
 
+def test_suffix_dedup_of_repeated_and_null_ids(spark, monkeypatch):
+    rng = random.Random(5)
+    a, b, c, d = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(4))
+    rows = [(7, a), (7, a), (7, b + a), (8, a + c), (8, a + c), (9, c), (None, b), (None, d), (None, d), (None, d[:150] + c[:40]), (3, "x" + d), (4, None), (4, None)]
+    order = lambda r: (-(1 << 63) if r[0] is None else r[0], int(hashlib.sha256((r[1] or "").encode()).hexdigest()[:15], 16))
+    want = removed([(r, r[1]) for r in sorted(set(rows), key=order)])
+    for hot in (suffixdedup.HOT, 1):
+        monkeypatch.setattr(suffixdedup, "HOT", hot)
+        for parts in (1, 6):
+            df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int").repartition(parts)
+            got = {r["n"]: (r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in suffixdedup.remove(df).collect()}
+            assert got == {n: (r[0], want[r]) for n, r in enumerate(rows)}
+
+
+def test_repeated_rows_keep_a_text_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{k} stands" for k in range(60))
+    rows = spark.createDataFrame([(1, text, "en", "a", len(text))] * 2, SCHEMA)
+    near = common.stored(corpus_pipeline.near_duplicates(spark, rows, ""), common.scratch(spark, "test-repeated"))
+    assert values(corpus_pipeline.repeated_passages(spark, near, "")) == [(1, text)] * 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=30).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=6), st.sampled_from([4, 100]), st.sampled_from([0, 1 << 20]))
 def test_induced_sorting(parts, depth, held):
