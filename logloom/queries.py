@@ -77,7 +77,7 @@ def kv_pairs(spark, sf):
 
 
 def csv_fields(spark, sf):
-    rows = _lines(spark, sf).where(~F.col("content").contains('"')).select("source_file", "line_number", parsers.csv_fields(F.col("content")).alias("f")).where("f is not null")
+    rows = _lines(spark, sf).select("source_file", "line_number", parsers.csv_fields(F.col("content")).alias("f")).where("f is not null")
     return rows.select("source_file", "line_number", F.size("f").cast("long").alias("n_fields"), F.element_at("f", 1).alias("first_field"), F.element_at("f", -1).alias("last_field"))
 
 

@@ -55,6 +55,43 @@ def test_csv_with_header_and_disabled_parsers(spark):
     assert found == [("CSVParser", {"a": "1", "b": "2"}), ("FallbackParser", {"raw_content": "1;2;3"})]
 
 
+def test_csv_fields_query_takes_every_line(spark, tmp_path):
+    import csv
+
+    from logloom import queries
+
+    texts = ['"x ""y"" z",2\nplain,a,b\nno comma', 'say "hi, all", then\n"open, to the end\n"one, field"\n"",', "a,\n\n\"", '"a"b,c" d,e', None, ""]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n"), 1):
+            fields = next(csv.reader([line.strip()]), [])
+            if len(fields) > 1:
+                want[str(i), k] = (len(fields), fields[0], fields[-1])
+    got = {(str(r["source_file"]), r["line_number"]): (r["n_fields"], r["first_field"], r["last_field"]) for r in queries.csv_fields(spark, f"file://{tmp_path}").collect()}
+    assert got == want and ("0", 1) in got and len(got) > 5
+
+
+def test_csv_fields_query_on_the_given_table(spark):
+    """Rows without quotes are those of the SQL; all lines with quotes are read by csv.reader."""
+    import csv
+
+    import duckdb
+
+    from logloom import queries
+
+    sf = "/root/testdata/sf0.01"
+    own = lambda r: (str(r[0]), *r[1:])
+    got = sorted(own(tuple(r)) for r in queries.csv_fields(spark, sf).collect())
+    lines = {(str(r["source_file"]), r["line_number"]): r["content"] for r in queries.lines(spark, sf).where("contains(content, '\"')").collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert [r for r in got if r[:2] not in lines] == sorted(own(r) for r in db.execute(queries.oracle_sql()["csv_fields"]).fetchall())
+    read = {at: next(csv.reader([text])) for at, text in lines.items() if "," in text}
+    assert [r for r in got if r[:2] in lines] == sorted((*at, len(f), f[0], f[-1]) for at, f in read.items() if len(f) > 1)
+    assert any(r[:2] in lines for r in got)
+
+
 def test_known_hashes_and_masks(spark):
     one = spark.range(1)
     r = one.select(C.hash_value(F.lit("session_id")).alias("a"), C.hash_value(F.lit("SID_00001")).alias("b"), C.mask_value(F.lit("555-1234"), "#", 4).alias("c"), C.mask_value(F.lit("s 555-12"), "#", 4).alias("d")).first()
