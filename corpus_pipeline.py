@@ -16,10 +16,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts, texts without a letter) go; a missing language is filled in. The
-    model is fitted on the labelled documents of the stage's own input."""
+    """Documents without a language go: null texts, texts without a letter, and texts in which the model knows no
+    n-gram (score 0), unless their label names a language that the model has not learned, which it cannot judge. A
+    missing language is filled in. The model is fitted on the labelled documents of the stage's own input."""
     model = langid.fit(docs.where(langid.fold() != 2))
-    found = langid.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
+    unlearned = F.coalesce(~F.col("lang").isin(model.languages), F.lit(False))
+    found = langid.predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & ((F.col("score") > 0) | unlearned))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

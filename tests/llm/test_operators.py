@@ -114,6 +114,17 @@ def test_suffix_dedup_of_repeated_and_null_ids(spark, monkeypatch):
             assert got == {n: (r[0], want[r]) for n, r in enumerate(rows)}
 
 
+def test_language_stage_rejects_what_the_model_cannot_identify(spark):
+    import corpus_pipeline
+
+    clean = [(i, f"the house stands by the river and the stone {i}", "en", "a", 1) if i % 2 else (i, f"das haus steht an dem fluss und der stein {i}", "de", "a", 1) for i in range(40)]
+    held_out = [i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 4 == 2]  # the model learns from none of these
+    kept = [*clean, (100, "the river", None, "a", 1), (held_out[0], "жжж", "ru", "a", 1)]
+    gone = [(400, "жжж", None, "a", 1), (401, "zqxj kvwz", None, "a", 1), (held_out[1], "жжж", "en", "a", 1), (403, "12 !?", "en", "a", 1), (404, None, "de", "a", 0)]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(kept + gone, SCHEMA), "").collect()
+    assert {r["doc_id"]: r["lang"] for r in got} == {r[0]: r[2] or "en" for r in kept}
+
+
 def test_repeated_rows_keep_a_text_in_the_pipeline(spark):
     import corpus_pipeline
 
