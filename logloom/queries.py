@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -132,9 +132,16 @@ def recognizer_catalogue(spark, sf):
     return anonymize.catalogue(spark)
 
 
+def _seq(doc: Column, line: Column) -> Column:
+    """Numbers in the order of (document, line). A string has under 2^31 bytes, so no line number reaches 2^31; ids
+    of 2^32 or more, which do not fit, fail."""
+    fits = doc.between(-(1 << 32), (1 << 32) - 1)
+    return F.when(fits | doc.isNull(), doc * (1 << 31) + line).otherwise(F.raise_error(F.lit("a document id of 2^32 or more does not fit into sequence numbers")))
+
+
 def _messages(spark, sf):
     rows = source.not_blank(_lines(spark, sf))
-    return rows.select(F.lit("original").alias("miner"), (F.col("source_file").cast("long") * 1_000_000 + F.col("line_number")).alias("seq"), F.col("content").alias("message"))
+    return rows.select(F.lit("original").alias("miner"), _seq(F.col("source_file").cast("long"), F.col("line_number")).alias("seq"), F.col("content").alias("message"))
 
 
 def template_mine(spark, sf):

@@ -151,6 +151,20 @@ def test_clusters_by_file(spark):
     assert got == {("a", 1, False, 1), ("b", 1, False, 1), (None, 1, False, 1), ("a", 2, False, 1), (None, 1, True, 3), (None, 2, True, 1)}
 
 
+def test_template_queries_tell_lines_of_long_documents_apart(spark, monkeypatch):
+    from logloom import queries
+
+    rows = [("1", 1_000_001, "a long way down"), ("2", 1, "other"), ("1", 2, "a long way up"), ("-1", (1 << 31) - 1, "first of all"), ("4294967295", (1 << 31) - 1, "last of all here")]
+    monkeypatch.setattr(queries, "_lines", lambda spark, sf: spark.createDataFrame(rows, "source_file string, line_number long, content string"))
+    got = queries.template_mine(spark, "").orderBy("seq").collect()
+    assert [(r["cluster_id"], r["template"]) for r in got] == [(1, "first of all"), (2, "a long way up"), (2, "a long way <*>"), (3, "other"), (4, "last of all here")]
+    assert sum(r["size"] for r in queries.template_coverage(spark, "").collect()) == len(rows)
+    assert queries.template_summary(spark, "").first()["templates"] == 4
+    rows.append(("4294967296", 1, "too far"))
+    with pytest.raises(Exception, match="does not fit"):
+        queries.template_mine(spark, "").collect()
+
+
 def test_known_template():
     miner = templates.Miner()
     head = "- {} 2005.06.03 R02-M1-N0-C:J12-U11 {} R02-M1-N0-C:J12-U11 RAS KERNEL INFO instruction cache parity error corrected"
