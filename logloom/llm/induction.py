@@ -3,7 +3,8 @@
 Suffix tuples (position, common prefix with the suffix before it) pass through queues, one for each first character;
 as a pushed tuple never belongs before the one that induced it, the queues together are a monotone priority queue.
 Queues keep blocks of tuples and write them to unlinked temporary files of the machine when more than a bound is
-held, so a shard may be far larger than memory. One round of induction sorts the LMS substrings, their names form
+held. The text, its hash sums, the names and the results stay in memory, so a shard must fit into it; the operator's
+shards have about 1 MB (:data:`suffixdedup.SHARD`), for which queues hardly ever write. One round of induction sorts the LMS substrings, their names form
 the reduced string, and the order of its suffixes feeds the second round. Only ``depth`` characters count: suffixes
 that agree in them may come in any order, and common prefixes are cut at ``depth``.
 """
