@@ -44,9 +44,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids (little-endian unsigned 32-bit integers) of each row's text."""
+    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) of each row's text, and
+    decoded_sha256, the digest of the text that these ids decode to."""
     common.small_batches(spark)
-    encode = bpe.encode_column(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = bpe.encode_column(public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
     return docs.select("doc_id", "lang", "source", encode("text").alias("e")).select("doc_id", "lang", "source", "e.*")
 
 

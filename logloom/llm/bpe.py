@@ -144,13 +144,14 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_column(path: str, sums_only: bool = False):
-    """A function of a text column: n_tokens, ids (binary; or their SHA-256 and the decoded text's).
+def encode_column(path: str, sums_only: bool = False, decoded: bool = False):
+    """A function of a text column: n_tokens, ids (binary; or their SHA-256 and the decoded text's). With ``decoded``
+    the SHA-256 of the text that the ids decode to stands beside the ids.
 
     A null text counts as empty. Texts are encoded whole, block by block, so memory follows the block and the
     longest text.
     """
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if sums_only else "n_tokens long, ids binary"
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if sums_only else "n_tokens long, ids binary" + ", decoded_sha256 string" * decoded
 
     @F.pandas_udf(kind)
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -163,7 +164,8 @@ def encode_column(path: str, sums_only: bool = False):
                 sums = [(hashlib.sha256(x).hexdigest(), hashlib.sha256(v.decode(x).encode("utf-8")).hexdigest()) for x in ids]
                 yield pd.DataFrame({"n_tokens": n, "ids_sha256": [s[0] for s in sums], "decoded_sha256": [s[1] for s in sums]})
             else:
-                yield pd.DataFrame({"n_tokens": n, "ids": ids})
+                sums = {"decoded_sha256": [hashlib.sha256(v.decode(x).encode("utf-8")).hexdigest() for x in ids]} if decoded else {}
+                yield pd.DataFrame({"n_tokens": n, "ids": ids, **sums})
         common.release()
 
     return udf

@@ -125,6 +125,17 @@ def test_language_stage_rejects_what_the_model_cannot_identify(spark):
     assert {r["doc_id"]: r["lang"] for r in got} == {r[0]: r[2] or "en" for r in kept}
 
 
+def test_token_stage_decodes_its_ids(spark, docs):
+    import corpus_pipeline
+
+    t, text = Tokenizer.from_file(BYTE), dict(values(docs))
+    found = corpus_pipeline.token_ids(spark, docs, "").collect()
+    assert len(found) == len(text)
+    for r in found:
+        ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+        assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest() == hashlib.sha256((text[r["doc_id"]] or "").encode()).hexdigest()
+
+
 def test_repeated_rows_keep_a_text_in_the_pipeline(spark):
     import corpus_pipeline
 
