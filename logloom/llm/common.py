@@ -10,11 +10,12 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most cells of the histogram from which id ranges are cut; bounds what reaches the driver.
+#: Most cells of a histogram from which id ranges are cut; bounds what reaches the driver.
 CELLS = 1 << 18
 
 
@@ -150,35 +151,90 @@ def partitions(spark: SparkSession, shards: int = 0) -> int:
     return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 2)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *made: str) -> list[str]:
+    """The columns of ``df`` that have none of the names ``made`` (in any case): new columns take the others' place."""
+    taken = {m.lower() for m in made}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def packed(df: DataFrame, *made: str, **used: Column) -> DataFrame:
+    """``df`` as one column ``row`` (a struct of its columns but ``made``) beside the named columns, so that no name
+    of the caller's can meet a helper's. :func:`unpacked` gives the columns back."""
+    keep = others(df, *made)
+    row = F.struct(*(column(c) for c in keep)) if keep else F.lit(None).cast("int")
+    return df.select(row.alias("row"), *(c.alias(k) for k, c in used.items()))
+
+
+def unpacked(df: DataFrame) -> list[Column]:
+    """The caller's columns out of ``row``."""
+    kind = df.schema["row"].dataType
+    return [F.col("row").getField(f.name).alias(f.name) for f in kind.fields] if hasattr(kind, "fields") else []
+
+
+_SIGN = 1 << 63
+
+
 def id_ranges(df: DataFrame, id_col: str, weight: Column, shard_bytes: int) -> tuple[Column, int]:
     """An expression for the number of a row's id range, ascending with the id, and the count of ranges.
 
-    Ranges hold about equal weight (bytes), ``shard_bytes`` or less: some ranges for each partition, so that hashing
-    deals them evenly. They are cut at the edges of equal steps between the least and the largest id, so they depend
-    on the rows alone, not on a sample or on how rows are spread. The steps, of which a number bounded by
-    :data:`CELLS` reaches the driver, follow the count of ranges. Null ids belong to the last range.
+    Ranges hold about equal weight (bytes), ``shard_bytes`` or less where more than one row is in them. Their edges
+    are quantiles of the weight, from a histogram over prefixes of the ids' bits; a cell that holds more than half a
+    range (other than by one row) is cut again by more bits, so ids that lie close together or one that lies far out
+    change nothing. Edges depend on the rows alone, not on a sample or on how rows are spread. At most :data:`CELLS`
+    cells reach the driver in a round; the edges, eight bytes a range and at most one for each cell, are broadcast.
+    Null ids belong to the last range.
     """
-    low, high, rows = df.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()  # reads the ids alone
+    spark = df.sparkSession
+    keyed = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").bitwiseXOR(F.lit(-_SIGN)).alias("x"), weight.alias("w"))
+    low, high, rows = df.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()  # reads the ids alone
     if low is None:
         return F.lit(0), 1
-    fewest = 2 * partitions(df.sparkSession)
-    cells = min(CELLS, 16 * max(fewest, rows * 8192 // shard_bytes))
-    step = max(1.0, (float(high) - float(low) + 1) / cells)
-    cell = F.least(F.lit(cells - 1), F.floor((F.col(id_col).cast("double") - F.lit(float(low))) / F.lit(step))).cast("int")
-    weights = dict(df.groupBy(cell.alias("cell")).agg(F.sum(weight + F.lit(1)).alias("w")).collect())
-    total = sum(weights.values())
-    shards = max(fewest, -(-total // shard_bytes))
-    numbers, so_far, used = [], 0, set()
-    for k in range(cells):
-        numbers.append(so_far * shards // total)
-        if k in weights:
-            used.add(numbers[-1])
-            so_far += weights[k]
-    dense = {n: i for i, n in enumerate(sorted(used))}
-    last = 0
-    for k, n in enumerate(numbers):
-        last = numbers[k] = dense.get(n, last)
-    return F.coalesce(F.get(F.lit(numbers), cell), F.lit(len(dense) - 1)), len(dense)
+    fewest = 2 * partitions(spark)
+    width = ((low + _SIGN) ^ (high + _SIGN)).bit_length()
+    shift = max(0, width - (min(CELLS, 16 * max(fewest, rows * 8192 // shard_bytes)) - 1).bit_length())
+    leaves: dict[int, int] = {}
+    part, total, shards = keyed, 0, fewest
+    while True:
+        cells = part.groupBy(F.shiftrightunsigned("x", shift).alias("cell")).agg(F.sum(F.col("w") + F.lit(1)), F.max("w")).collect()
+        if not total:
+            total = sum(w for _, w, _ in cells)
+            shards = min(CELLS, max(fewest, -(-total // shard_bytes)))
+        heavy = []
+        for cell, w, most in cells:
+            if shift and 2 * (w - most) * shards > total:
+                heavy.append((cell,))
+            else:
+                leaves[(cell % (2 * _SIGN)) << shift] = w
+        if not heavy:
+            break
+        deeper = max(0, shift - max(1, (CELLS // len(heavy)).bit_length() - 1))
+        hot = F.broadcast(spark.createDataFrame(heavy, "cell long"))  # CELLS rows at most
+        part, shift = keyed.join(hot, F.shiftrightunsigned("x", shift) == F.col("cell"), "left_semi"), deeper
+    starts, so_far, last = [], 0, -1
+    for start in sorted(leaves):
+        if (number := so_far * shards // total) != last:
+            starts.append(start)
+            last = number
+        so_far += leaves[start]
+    edges = spark.sparkContext.broadcast(np.array([0, *starts[1:]], np.uint64))
+
+    @F.arrow_udf("int")
+    def shard(ids: pa.Array) -> pa.Array:
+        x = ids.fill_null((1 << 63) - 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(_SIGN)
+        return pa.array(np.searchsorted(edges.value, x, "right") - 1, pa.int32())
+
+    return shard(F.col(id_col).cast("long")), len(starts)
+
+
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows dealt by their ``shard``, evenly: range k goes to partition k modulo the count of partitions."""
+    n = min(partitions(rows.sparkSession, shards), max(1, shards))
+    return rows.repartitionById(n, F.pmod(F.col("shard"), F.lit(n)).cast("int"))
 
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:

@@ -29,12 +29,12 @@ from . import common
 
 MAGIC = b"LOOMIDS1"
 INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("at", "<u8"), ("n", "<u4")])
-#: Text aimed at in a file; whole documents that the dictionary is trained on; its size; the compression level.
+#: Text aimed at in a file; documents that the dictionary is trained on; its size; the compression level.
 SHARD_BYTES, SAMPLE_DOCUMENTS, DICTIONARY_BYTES, LEVEL = 256 << 20, 600, 64 << 10, 3
-#: Longer documents are not in the training sample, which keeps it bounded.
-SAMPLE_CHARS = 1 << 16
-#: Words that a worker remembers in each of two generations.
-REMEMBERED = 900_000
+#: Ids of a document in the training sample at most: of a longer one, a stretch that its hash picks.
+SAMPLE_IDS = 1 << 14
+#: Words that a worker remembers in each of two generations, and the most bytes of one that it does.
+REMEMBERED, MOST_BYTES = 900_000, 64
 
 
 #: Letters with marks that compose only in lower case; the tokenizer composes first, so these stay two characters.
@@ -76,6 +76,7 @@ class Encoder:
         self.starts = tuple({t["content"][:2].encode() for t in file["added_tokens"]})
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []
         for probe in ("a b", "It 's a  <|endoftext|> b\tc\nd", " x ́y  1 2 '", "..  ..\r\n!", "ÉÉ, été. don't œuvre", *ONLY_LOWER):
             if np.frombuffer(self.encode([probe])[0], self.kind).tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
                 raise ValueError("this tokenizer's tokens reach across white space")
@@ -87,6 +88,8 @@ class Encoder:
         known, before = self.known, self.before
         letters, marked, other = set(), [], []
         for chunk in new:
+            if len(chunk) > MOST_BYTES:
+                self.long.append(chunk)
             if chunk in before:
                 known[chunk] = before[chunk]
             elif _WORD.fullmatch(chunk):
@@ -133,7 +136,11 @@ class Encoder:
             self.before, self.known = self.known, {}
         self._learn(set(filterfalse(self.known.__contains__, chain.from_iterable(chunks))))
         find = self.known.__getitem__
-        return [whole[k] if k in whole else b"".join(map(find, part)) for k, part in enumerate(chunks)]
+        out = [whole[k] if k in whole else b"".join(map(find, part)) for k, part in enumerate(chunks)]
+        for chunk in self.long:  # what is remembered is bounded in bytes
+            self.known.pop(chunk, None)
+        self.long.clear()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -142,16 +149,36 @@ def encoder(path: str) -> Encoder:
 
 
 def train(docs: DataFrame, text: str, key: str, path: str, end_id: int) -> bytes:
-    """A dictionary from the ids of a bounded sample of whole documents; empty if there are too few to train on."""
-    n = docs.count()
-    one_in = max(1, n // SAMPLE_DOCUMENTS)
-    picked = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(one_in)) == 0
-    rows = docs.where(picked & (F.length(text) <= SAMPLE_CHARS)).select(text).limit(SAMPLE_DOCUMENTS).collect()
-    own = encoder(path)
-    end = np.array([end_id], own.kind).tobytes()
-    samples = [x + end for x in own.encode(sorted(r[0] for r in rows))]
+    """A dictionary from the id arrays of a bounded sample of documents; empty if there are too few to train on.
+
+    The sample are the documents whose hashes of id and text are least, long ones too (equal rows count once), so it
+    depends on the rows alone. Their texts are encoded where they are; at most :data:`SAMPLE_IDS` ids of each reach the
+    driver.
+    """
+    common.small_batches(docs.sparkSession)
+    # ids alone are read to find the bound: texts of one id are told apart only among the chosen
+    number = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    least = [r[0] for r in docs.select(number.alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCUMENTS).collect()]
+    if not least:
+        return b""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        end = np.array([end_id], own.kind).tobytes()
+
+        def rows() -> Iterator[tuple]:
+            for block in common.blocks_of(common.rows_of(batches), 1):
+                for (h, t), ids in zip(block, own.encode([r[1] for r in block]), strict=True):
+                    ids, most = ids + end, SAMPLE_IDS * own.kind.itemsize
+                    at = h % (len(ids) // own.kind.itemsize - SAMPLE_IDS + 1) * own.kind.itemsize if len(ids) > most else 0
+                    yield zlib.crc32(t), ids[at : at + most]
+
+        yield from common.batches_of(rows(), pa.schema([("order", pa.int64()), ("ids", pa.binary())]))
+
+    chosen = docs.select(number.alias("h"), F.col(text).cast("binary").alias("t")).where(F.col("h") <= F.lit(least[-1]))
+    found = chosen.mapInArrow(common.releasing(cut), "order long, ids binary").distinct().orderBy("order", "ids").limit(SAMPLE_DOCUMENTS).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["ids"]) for r in found]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -163,16 +190,17 @@ def _zdict(data: bytes):
 def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "text", key: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> list[dict]:
     """Encode the texts (null: empty) and write them in ascending order of ``key`` (nulls last, ties by text).
 
-    Returns the manifest: a row for each file in order, with the count of ids in all files before it. Files get
+    Repeated rows are written as often as they stand, side by side. Texts are encoded whole, however long. Other columns
+    are not looked at, so their names may be any; an empty table gives an empty manifest. Returns the manifest: a row for each file in order, with the count of ids in all files before it. Files get
     their names when complete; a task that runs again writes the same bytes.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    docs = docs.select(common.column(key).cast("long").alias("id"), F.coalesce(common.column(text), F.lit("")).alias("t"))
     dictionary = train(docs, "t", "id", path, end_id)
     sha = hashlib.sha256(dictionary).hexdigest()
     common.Store(folder).put(f"dictionary-{sha}.zdict", dictionary)
     shard, shards = common.id_ranges(docs, "id", F.octet_length("t").cast("long"), shard_bytes)
-    dealt = docs.select(shard.alias("shard"), "id", F.col("t").cast("binary").alias("t")).repartition(common.partitions(spark, shards), "shard").sortWithinPartitions("shard", F.asc_nulls_last("id"), "t")
+    dealt = common.dealt(docs.select(shard.alias("shard"), "id", F.col("t").cast("binary").alias("t")), shards).sortWithinPartitions("shard", F.asc_nulls_last("id"), "t")
     shared = spark.sparkContext.broadcast(dictionary)
     schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 

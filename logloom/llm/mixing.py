@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Below this count of sources their rates (some hundred bytes each) are broadcast; beyond it they are joined by key.
-BROADCAST_SOURCES = 2_000
+#: Distribution functions of all sources together are broadcast up to this many steps (eight bytes each); beyond it they
+#: are joined by key.
+BROADCAST_STEPS = 1 << 20
+#: A larger rate is the sum of variables of equal rates up to this one, so that no table of steps is long.
+PIECE = 512
+#: Rows of a source are dealt over so many keys where tables are joined by key.
+SALTS = 64
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -23,13 +28,14 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def rates(df: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, total: int | None = None) -> DataFrame:
-    """A row for each source: its count, its rate and the steps of the rate's distribution function.
+    """A row for each source: m_source, m_n (its count), m_rate, m_pieces and m_steps, the distribution function of
+    the rate by pieces.
 
     ``weights`` name the shares of sources (others get none). Without them a source's share is in proportion to
     its count to the power ``temperature``. ``total`` documents are aimed at, by default as many as there are.
     Counts are added up before the shuffle, so a hot source costs nothing.
     """
-    counts = df.groupBy(F.col("source").alias("m_source")).agg(F.count(F.lit(1)).alias("m_n"))
+    counts = df.groupBy(common.column("source").alias("m_source")).agg(F.count(F.lit(1)).alias("m_n"))
     if weights is None:
         share = F.pow(F.col("m_n").cast("double"), F.lit(temperature))
     else:
@@ -38,7 +44,8 @@ def rates(df: DataFrame, weights: dict[str, float] | None = None, temperature: f
     sums = counts.agg(F.sum("m_share").alias("s"), F.sum("m_n").alias("n"))  # one row
     rate = F.col("m_share") / F.col("s") * (F.lit(total) if total is not None else F.col("n")) / F.col("m_n")
     out = counts.join(F.broadcast(sums)).select("m_source", "m_n", F.when(F.col("s") > 0, rate).otherwise(0.0).alias("m_rate"))
-    return out.withColumn("m_steps", steps(F.col("m_rate")))
+    out = out.withColumn("m_pieces", F.greatest(F.lit(1), F.ceil(F.col("m_rate") / PIECE)).cast("int"))
+    return out.withColumn("m_steps", steps(F.col("m_rate") / F.col("m_pieces")))
 
 
 def steps(rate: Column) -> Column:
@@ -58,22 +65,27 @@ def steps(rate: Column) -> Column:
 def mix(df: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, total: int | None = None, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` (which has a column source), each repeated by its count, in an order drawn by hash.
 
-    Adds ``copy`` (1, 2, ...) and ``rate``. A null source is a source of its own. Rows of one id have the same
-    count. Other columns pass through; texts are read once and shuffled once.
+    Adds ``copy`` (1, 2, ...) and ``rate``; columns of ``df`` of these names give way to the new ones, all others pass
+    through as they are, null and very long texts too. A null source is a source of its own; a null id is hashed as an
+    empty text. Rows of one id have the same count, so repeated rows stay repeated. An empty table gives an empty one.
+    Texts are read once and shuffled once.
     """
     spark = df.sparkSession
     table = common.stored(rates(df, weights, temperature, total), common.scratch(spark, "mixing"))
-    few = table.count() <= BROADCAST_SOURCES
-    if few:
-        joined = df.join(F.broadcast(table), df["source"].eqNullSafe(table["m_source"]))
+    steps_in_all = table.agg(F.sum(F.size("m_steps") + 8)).first()[0] or 0
+    rows = common.packed(df, "copy", "rate", m_own=common.column("source"), m_id=common.column(id_col))
+    same = F.col("m_own").eqNullSafe(F.col("m_source"))
+    if steps_in_all <= BROADCAST_STEPS:
+        joined = rows.join(F.broadcast(table), same)
     else:
-        salts = 64
-        table = table.withColumn("m_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = df.withColumn("m_own", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
-        joined = salted.join(table, salted["source"].eqNullSafe(table["m_source"]) & (salted["m_own"] == table["m_salt"])).drop("m_own", "m_salt")
-    joined = joined.withColumn("m_u", uniform(seed, F.col(id_col))).withColumn("m_count", F.size(F.filter("m_steps", lambda c: c <= F.col("m_u")))).drop("m_u")
-    copies = joined.where("m_count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m_count"))))
-    copies = copies.withColumn("m_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
+        table = table.withColumn("m_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("m_key", F.pmod(F.xxhash64("m_id"), F.lit(SALTS)).cast("int")).join(table, same & (F.col("m_key") == F.col("m_salt"))).drop("m_key", "m_salt")
+    invert = lambda u: F.size(F.filter("m_steps", lambda c: c <= u))
+    joined = joined.withColumn("m_u", uniform(seed, F.col("m_id"))).withColumn("m_first", invert(F.col("m_u"))).drop("m_u")
+    further = F.aggregate(F.sequence(F.lit(2), F.col("m_pieces")), F.col("m_first"), lambda n, k: n + invert(uniform(seed, F.col("m_id"), k)))
+    joined = joined.withColumn("m_count", F.when(F.col("m_pieces") > 1, further).otherwise(F.col("m_first")))
+    copies = joined.where("m_count > 0").select("row", "m_id", "m_rate", F.explode(F.sequence(F.lit(1), F.col("m_count"))).alias("m_copy"))
+    copies = copies.withColumn("m_key", F.xxhash64(F.lit(seed), F.col("m_id"), F.col("m_copy")))
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # whole texts move, so tasks are kept small
     mixed = copies.repartition(partitions, "m_key").sortWithinPartitions("m_key")
-    return mixed.select(*df.columns, F.col("copy").cast("int").alias("copy"), F.round("m_rate", 9).alias("rate"))
+    return mixed.select(*common.unpacked(mixed), F.col("m_copy").cast("int").alias("copy"), F.round("m_rate", 9).alias("rate"))

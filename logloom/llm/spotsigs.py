@@ -91,27 +91,26 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text", shard_byte
 
     The copies are found from the largest id of each range, so nothing is sorted in one task.
     """
-    docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    spark = df.sparkSession
+    docs = df.select(common.column(key).cast("long").alias("id"), F.coalesce(common.column(text), F.lit("")).alias("t"))
     shard, shards = common.id_ranges(docs, "id", F.octet_length("t").cast("long"), shard_bytes)
     docs = docs.withColumn("shard", F.when(F.col("id").isNull(), 0).otherwise(shard))
-    heads = dict(docs.where(F.col("id").isNotNull()).groupBy("shard").agg(F.max("id")).collect())
-    if heads:
-        order = sorted(heads)
-        of = [heads.get(k) for k in range(order[-1] + 1)]
-        above = dict(zip(order, [*order[1:], order[0]], strict=True))
-        head = F.col("id") == F.get(F.lit([x if x is not None else 0 for x in of]), F.col("shard"))
-        to = F.get(F.lit([above.get(k, 0) for k in range(len(of))]), F.col("shard"))
-        own = F.struct(F.col("shard").alias("shard"), F.lit(0).alias("look"))
-        docs = docs.withColumn("p", F.explode(F.when(head, F.array(own, F.struct(to.alias("shard"), F.lit(1).alias("look")))).otherwise(F.array(own))))
-        docs = docs.select("p.shard", "p.look", "id", "t")
-    else:
-        docs = docs.select("shard", F.lit(0).alias("look"), "id", "t")
-    return docs.repartition(common.partitions(df.sparkSession, shards), "shard").sortWithinPartitions("shard", "look", F.desc_nulls_last("id"), "t")
+    heads = sorted(map(tuple, docs.select("id", "shard").where("id is not null").groupBy("shard").agg(F.max("id")).collect()))  # a row for each range
+    follows = spark.createDataFrame([(k, top, up) for (k, top), (up, _) in zip(heads, [*heads[1:], *heads[:1]], strict=True)], "shard int, id long, to int")
+    both = F.when(F.col("to").isNull(), F.array(F.struct("shard", F.lit(0).alias("look")))).otherwise(F.array(F.struct("shard", F.lit(0).alias("look")), F.struct(F.col("to").alias("shard"), F.lit(1).alias("look"))))
+    docs = docs.join(F.broadcast(follows), ["shard", "id"], "left").select("id", "t", F.explode(both).alias("p")).select("p.shard", "p.look", "id", "t")
+    return common.dealt(docs, shards).sortWithinPartitions("shard", "look", F.desc_nulls_last("id"), "t")
 
 
 def compare_next(df: DataFrame, key: str = "doc_id", text: str = "text", chain: int = CHAIN) -> DataFrame:
     """For each document its fingerprint, that of its edited text (its last third replaced by the beginning of the
-    next document, by descending id) and the likeness of its fingerprint to the edited text's and the next one's."""
+    next document, by descending id) and the likeness of its fingerprint to the edited text's and the next one's.
+
+    A null text is empty, and the likeness of two empty fingerprints is 1. Rows that share an id follow each other in
+    order of their texts, so repeated rows do too; rows without an id follow all others. The last row is followed by the
+    first; a table of one row by that row; an empty table gives an empty one. Texts are fingerprinted whole. Other
+    columns are not looked at, so their names may be any.
+    """
     kinds = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 
     def results(ids: list, texts: list[str]) -> Iterator[tuple]:
@@ -207,7 +206,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, chain: int = CHAIN, ke
     whose fingerprints have a Jaccard index of ``similarity`` or more, in thousandths) and group_id (the smallest id
     of its connected group).
 
-    A null text is empty; texts without words are a class without links. Where rows of one id differ in their
+    A null text is empty; texts without words are a class without links. Texts are fingerprinted whole; other columns
+    are not looked at, so their names may be any; an empty table gives an empty one. Where rows of one id differ in their
     fingerprints, links are those of one of them. A row whose id is null has null class and group and no links.
 
     Each set goes to the partition of its length, and as a visitor to the one before if that holds sets near enough.
@@ -220,7 +220,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, chain: int = CHAIN, ke
     folder = common.scratch(spark, "spotsigs")
     common.small_batches(spark)
     shift = np.uint32(32 - int(math.log2(CELLS)))
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    docs = docs.select(common.column(key).cast("long").alias("doc_id"), F.coalesce(common.column(text), F.lit("")).alias("t"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:

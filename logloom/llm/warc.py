@@ -87,7 +87,8 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
 
     Of pages with equal payloads of at least :data:`LEAST_REVISIT` bytes, that with the smallest id is a response
     and the others revisit it. Pages of one id and one payload are alike. A null id comes last and is never
-    referred to. Payloads are shuffled once: what a page refers to travels to its shard as a row that sorts before it
+    referred to. Pages without rows in the table: no files, an empty manifest. Long payloads are written whole; a record
+    holds one, so memory follows the longest. Other columns are not looked at. Payloads are shuffled once: what a page refers to travels to its shard as a row that sorts before it
     (with the digest in place of the payload, as rows may share an id).
     """
     spark = pages.sparkSession
@@ -96,7 +97,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     shard, shards = common.id_ranges(sums, "id", F.col("size"), shard_bytes)
     rows = pages.select(shard.alias("shard"), "id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
     links = again.select(shard.alias("shard"), "id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), "refers_to")
-    dealt = rows.union(links).repartition(common.partitions(spark, shards), "shard").sortWithinPartitions("shard", F.asc_nulls_last("id"), "kind", "html", "url")
+    dealt = common.dealt(rows.union(links), shards).sortWithinPartitions("shard", F.asc_nulls_last("id"), "kind", "html", "url")
     schema = pa.schema([("shard", pa.int64()), ("roll", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
