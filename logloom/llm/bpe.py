@@ -25,8 +25,10 @@ from . import common
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 # Fixed value: the pre-token pattern of byte-level vocabularies of this kind.
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: Pre-tokens that a worker remembers, and characters of text that it handles at once.
-REMEMBERED, BLOCK = 600_000, 500_000
+# Fixed value: the same pattern as the libraries write it.
+LIBRARY_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pre-tokens that a worker remembers (and the most characters of one that it does), and characters of text at once.
+REMEMBERED, MOST_CHARS, BLOCK = 600_000, 64, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -36,10 +38,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
 
 
+def _check(file: dict) -> None:
+    """Raise where a tokenizer file asks for what this module does not do."""
+    before, model = file.get("pre_tokenizer") or {}, file["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    bare = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    marks = any(t.get(k) for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+    decodes = (file.get("decoder") or {}).get("type") == "ByteLevel"
+    if not (plain and bare and decodes and model.get("type") == "BPE") or file.get("normalizer") or marks:
+        raise ValueError("not a byte-level BPE file of the plain kind: its normalizer, pre-tokens, model, decoder or added tokens differ")
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as source:
             file = json.load(source)
+        _check(file)
         letters, ids = byte_letters(), file["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.pieces: list[bytes] = [b""] * (1 + max([*ids.values(), *self.special.values()]))
@@ -131,7 +145,11 @@ class Vocabulary:
         new = set(filterfalse(self.known.__contains__, chain.from_iterable(part for parts in words for part in parts[::2])))
         self.learn(list(new))
         find = self.known.__getitem__
-        return [b"".join([b"".join(map(find, part)) if not k % 2 else special[part].to_bytes(4, "little") for k, part in enumerate(parts)]) for parts in words]
+        out = [b"".join([b"".join(map(find, part)) if not k % 2 else special[part].to_bytes(4, "little") for k, part in enumerate(parts)]) for parts in words]
+        for word in new:  # what is remembered is bounded in bytes, as long pre-tokens are not
+            if len(word) > MOST_CHARS:
+                del self.known[word]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters."""
@@ -149,7 +167,8 @@ def encode_column(path: str, sums_only: bool = False, decoded: bool = False):
     the SHA-256 of the text that the ids decode to stands beside the ids.
 
     A null text counts as empty. Texts are encoded whole, block by block, so memory follows the block and the
-    longest text.
+    longest text. Each row is encoded on its own: repeated rows get equal results, an empty table an empty one, and as
+    this is a function of one column, no column of the caller's can clash with it.
     """
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if sums_only else "n_tokens long, ids binary" + ", decoded_sha256 string" * decoded
 
