@@ -1,9 +1,11 @@
 """N-gram Jaccard join by MinHash banding.
 
 Texts are sets of runs of five words (words lie between ASCII white space). Equal texts are one class. Each class
-gets a MinHash signature; bands of it are hashed, and classes that share a band are candidates. Components of
-candidates are verified on their full n-gram sets, each set travelling once (a large component in pairs of blocks),
-and pairs are counted where they are found, so that no list of pairs is ever made.
+gets a MinHash signature; bands of it are hashed, and classes that share a band are candidates. A class belongs to the
+smallest class that it shares a band with, and the classes of one such home form blocks. Where a band holds classes of
+two blocks, these classes (and no others) travel to that pair of blocks and are verified there on their full n-gram
+sets; most meet in one block, to which a set travels once. Pairs are counted where they are found, so that no list of
+pairs is ever made, and chains of candidates do not make their ends meet.
 """
 
 import math
@@ -22,8 +24,8 @@ from .overlaps import Links, Overlaps
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Hash functions at most; more rows in a band mean fewer false candidates.
 HASHES = 160
-#: Classes and n-grams in a block of a component, at about.
-BLOCK_CLASSES, BLOCK_GRAMS = 1024, 1 << 20
+#: Classes and n-grams in a block, at about.
+BLOCK_CLASSES, BLOCK_GRAMS = 512, 1 << 19
 
 
 def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -109,15 +111,16 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall
     group).
 
     Null and wordless texts have no n-grams, so no links; equal ones are a class (nulls count as empty). A text of
-    fewer than ``n`` words is one n-gram. Rows of one id are one document
+    fewer than ``n`` words is one n-gram. Texts are compared whole, however long. Rows of one id are one document
     (where their texts differ, links are those of the smallest). A row whose id is null is returned with
-    null class and group and no links.
+    null class and group and no links. Other columns are not looked at, so their names may be any; an empty table
+    gives an empty one.
     """
     spark = docs.sparkSession
     folder = common.scratch(spark, "nearjoin")
     common.small_batches(spark)
     bands, rows = bands_for(similarity, recall)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    docs = docs.select(common.column(key).cast("long").alias("doc_id"), F.coalesce(common.column(text), F.lit("")).cast("binary").alias("t"))
     signed = docs.select("doc_id", F.unhex(F.md5("t")).alias("digest"), signatures(bands, rows, n)("t").alias("s"))
     signed = common.stored(signed.select("doc_id", "digest", "s.*"), f"{folder}/signed")
     firsts = signed.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("class_id is not null")
@@ -125,41 +128,40 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall
 
     classes = signed.join(firsts.select(F.col("digest").alias("d"), "class_id"), (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("d"))).select("class_id", "n_grams", "bands").dropDuplicates(["class_id", "bands"])
     classes = common.stored(classes, f"{folder}/signatures")
-    banded = classes.select("class_id", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("class_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    banded = classes.select("class_id", "n_grams", F.explode("bands").alias("band"))
+    leaders = banded.groupBy("band").agg(F.min("class_id").alias("leader"), F.max("class_id").alias("last")).where("leader < last").drop("last")
     leaders = common.stored(leaders, f"{folder}/leaders")
-    links = banded.join(leaders, "band").where("class_id <> leader").select(F.col("class_id").alias("a"), F.col("leader").alias("b"))
-    candidates = components(links, f"{folder}/candidates")
-
-    sized = candidates.join(classes.groupBy("class_id").agg(F.sum("n_grams").alias("n_grams")), F.col("node") == F.col("class_id")).select("node", "label", "n_grams")
-    sized = common.stored(sized, f"{folder}/sized")
-    blocks = sized.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    blocks = common.stored(blocks, f"{folder}/blocks")
-    dealt = sized.join(blocks, "label").select(F.col("node").alias("doc_id"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    dealt = common.stored(dealt, f"{folder}/dealt")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    members = docs.join(dealt, "doc_id").withColumn("p", F.explode(pairs)).select("label", "p.i", "p.j", "doc_id", "block", "blocks", "t")
-    members = members.repartition(common.partitions(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j", "doc_id", "t")
-    kinds = pa.schema([("class_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("blocks", pa.int32())])
+    met = common.stored(banded.join(leaders, "band").select("band", "class_id", "n_grams", "leader"), f"{folder}/met")
+
+    homes = common.stored(met.groupBy("class_id").agg(F.min("leader").alias("home"), F.max("n_grams").alias("n_grams")), f"{folder}/homes")
+    blocks = homes.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    blocks = common.stored(blocks.where("blocks > 1"), f"{folder}/blocks")
+    placed = homes.join(blocks, "home", "left").select("class_id", F.struct("home", F.coalesce(F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"), F.lit(0)).alias("block")).alias("place"))
+    placed = common.stored(met.select("class_id", "band").join(placed, "class_id"), f"{folder}/placed")
+    held = placed.groupBy("band").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    held = common.stored(held, f"{folder}/held")
+    inside = placed.join(held.where("low = high").select("band"), "band").select("class_id", F.lit(0).alias("side"), F.col("place").alias("i"), F.col("place").alias("j"))
+    across = placed.join(held.where("low < high").select(F.col("band").alias("of")), F.col("band") == F.col("of")).select("class_id", "band", "place")
+    across = common.stored(across, f"{folder}/across")
+    several = across.select("band", F.col("place").alias("other")).distinct()  # as many as there are blocks with the band
+    side = F.when(F.col("place") <= F.col("other"), 0).otherwise(1)
+    pairs = across.join(common.stored(several, f"{folder}/several"), "band").select("class_id", side.alias("side"), F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"))
+    asked = common.stored(inside.union(pairs).distinct().withColumnRenamed("class_id", "doc_id"), f"{folder}/asked")
+    members = docs.join(asked, "doc_id").select("i", "j", "doc_id", "side", "t")
+    members = members.repartition(common.partitions(spark), "i", "j").sortWithinPartitions("i", "j", "doc_id", "t")
+    kinds = pa.schema([("class_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
-            for (_, i, j), group in common.runs_by_key(batches, 3):
-                group = list({r[3]: r for r in reversed(group)}.values())[::-1]  # repeated rows of an id: the first
-                ids, own, texts = [r[3] for r in group], [r[4] for r in group], [r[6] for r in group]
-                for one in verify(ids, own, texts, i == j, n, similarity):
-                    yield (*one, group[0][5])
+            for (i, j), group in common.runs_by_key(batches, 2):
+                group = list({r[2]: r for r in reversed(group)}.values())[::-1]  # repeated rows of an id: the first
+                yield from verify([r[2] for r in group], [r[3] for r in group], [r[4] for r in group], i == j, n, similarity)
 
         yield from common.batches_of(found(), kinds)
 
-    verified = common.stored(members.mapInArrow(common.releasing(work), "class_id long, links long, root long, blocks int"), f"{folder}/verified")
-    counted = verified.groupBy("class_id").agg(F.sum("links").alias("n_links"), F.min("root").alias("root"))
-    across = verified.where("blocks > 1").select(F.col("class_id").alias("a"), F.col("root").alias("b"))
-    if across.isEmpty():
-        counted = counted.withColumnRenamed("root", "group_id")
-    else:
-        labels = components(across, f"{folder}/groups").select(F.col("node").alias("class_id"), "label")
-        counted = counted.join(labels, "class_id", "left").select("class_id", "n_links", F.coalesce("label", "root").alias("group_id"))
+    verified = common.stored(members.mapInArrow(common.releasing(work), "class_id long, links long, root long"), f"{folder}/verified")
+    groups = components(verified.select(F.col("class_id").alias("a"), F.col("root").alias("b")).distinct(), f"{folder}/groups")
+    counted = verified.groupBy("class_id").agg(F.sum("links").alias("n_links")).join(groups, F.col("class_id") == F.col("node"), "left").select("class_id", "n_links", F.col("label").alias("group_id"))
     counted = common.stored(counted, f"{folder}/counted")
 
     copied = firsts.where("n > 1").select("digest", F.col("class_id").alias("of"))
