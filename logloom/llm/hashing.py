@@ -27,8 +27,34 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+#: (prime below 2^31, base, inverse of the base) of further polynomial hashes.
+PRIMES = tuple((p, b, pow(b, -1, p)) for p, b in ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_013)))
+_modular: dict[int, np.ndarray] = {}
+
+
+def _residues(base: int, prime: int, n: int) -> np.ndarray:
+    """The first n powers of the base modulo the prime, by doubling."""
+    out = _modular.get(base)
+    if out is None or len(out) < n:
+        out = np.ones(1, np.uint64)
+        while len(out) < n:
+            out = np.concatenate((out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)))
+        _modular[base] = out
+    return out[:n]
+
+
+def modular(a: np.ndarray, start: np.ndarray, end: np.ndarray, of: tuple[int, int, int]) -> np.ndarray:
+    """The hash modulo a prime of a[start:end] for each pair; strings of up to 2^20 bytes. Sums may run over, as the
+    difference of two is below 2^64."""
+    prime, base, inverse = of
+    sums = np.concatenate(([np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _residues(base, prime, len(a)))))
+    p = np.uint64(prime)
+    return (sums[end] - sums[start]) % p * _residues(inverse, prime, len(a))[start] % p
+
+
 def forget() -> None:
     _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    _modular.clear()
 
 
 def words(texts: list[bytes], table: bytes = CHUNKS) -> tuple[np.ndarray, np.ndarray]:

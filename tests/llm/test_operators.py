@@ -49,7 +49,11 @@ def words_of(t):
 
 
 def test_quality(docs, nothing):
-    got = {r["doc_id"]: r for r in quality.judge(docs.withColumn("extra", F.lit(1))).collect()}
+    clash = docs.withColumn("n_words", F.lit("own")).withColumn("KEPT", F.lit(1)).withColumn("words", F.lit(2)).withColumn("a.b`c", F.lit(3))
+    found = quality.judge(clash.union(clash.where("doc_id = 4")))
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "words", "a.b`c", *quality.MEASURES, "base_failed", "kept"]
+    assert found.where("doc_id = 4").distinct().count() == 1 and found.where("words <> 2 or `a.b``c` <> 3").isEmpty()
+    got = {r["doc_id"]: r for r in found.collect()}
     for i, t in values(docs):
         w = words_of(t)
         grams = defaultdict(list)
@@ -64,12 +68,20 @@ def test_quality(docs, nothing):
     assert quality.judge(nothing).count() == 0
 
 
-def test_mixing(spark, docs, nothing):
-    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 10 == 1, "rare").otherwise("hot").alias("source"), F.lit("t").alias("copy"))
-    got = mixing.mix(rows.drop("copy"), weights={"hot": 0.2, "rare": 0.8}, total=20_000)
+def test_mixing(spark, docs, nothing, monkeypatch):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 10 == 1, "rare").otherwise("hot").alias("source"), F.lit("t").alias("copy"), F.lit("x").alias("m_key"), F.lit(None).cast("string").alias("text"))
+    got = mixing.mix(rows, weights={"hot": 0.2, "rare": 0.8}, total=20_000)
+    assert got.columns == ["doc_id", "source", "m_key", "text", "copy", "rate"] and dict(got.dtypes)["copy"] == "int" and got.where("m_key <> 'x'").isEmpty()
     n = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert abs(n["hot"] - 4_000) < 250 and abs(n["rare"] - 16_000) < 500 and None not in n
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixing.mix(rows.drop("copy").repartition(3), weights={"hot": 0.2, "rare": 0.8}, total=20_000).collect()))
+    same = lambda df: sorted(map(str, df.collect()))
+    want = same(got)
+    assert same(mixing.mix(rows.repartition(3), weights={"hot": 0.2, "rare": 0.8}, total=20_000)) == want
+    monkeypatch.setattr(mixing, "BROADCAST_STEPS", 0)  # the join by key gives the same rows
+    assert same(mixing.mix(rows, weights={"hot": 0.2, "rare": 0.8}, total=20_000)) == want
+    twice = spark.createDataFrame([(1, "s"), (1, "s"), (None, "s"), (2, None)], "doc_id long, source string")
+    counts = {tuple(r[:2]): r["n"] for r in mixing.mix(twice, total=400).groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect()}
+    assert counts[1, "s"] % 2 == 0 and set(counts) == {(1, "s"), (None, "s"), (2, None)}
     assert mixing.mix(nothing).count() == 0
     assert mixing.mix(docs).count() > 0
     big = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
@@ -145,16 +157,87 @@ def test_repeated_rows_keep_a_text_in_the_pipeline(spark):
     assert values(corpus_pipeline.repeated_passages(spark, near, "")) == [(1, text)] * 2
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.binary(max_size=30).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=6), st.sampled_from([4, 100]), st.sampled_from([0, 1 << 20]))
+def sorted_suffixes(parts, depth, held):
+    text = induction.Text(parts, depth, held)
+    found = list(induction.suffixes(text))
+    at = [int(x) for a, _ in found for x in a]
+    shared = [int(x) for _, c in found for x in c]
+    return text, at, shared, {int(a[0]) for a, _ in found}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.binary(max_size=30).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=6), st.sampled_from([4, 7, 100]), st.sampled_from([0, 1 << 20]))
 def test_induced_sorting(parts, depth, held):
-    at, shared, _ = induction.suffixes(parts, depth, held)
+    _, at, shared, firsts = sorted_suffixes(parts, depth, held)
     t = [c for p in parts for c in [*(b + 2 for b in p), 1]] + [0]
-    keys = [t[i : i + depth] for i in at.tolist()]
-    assert sorted([*at.tolist(), *({len(t) - 1} - set(at.tolist()))]) == list(range(len(t)))
+    keys = [t[i : i + depth] for i in at]
+    assert sorted([*at, *({len(t) - 1} - set(at))]) == list(range(len(t)))
     assert keys == sorted(keys)
-    for a, b, n in zip(keys, keys[1:], shared[1:].tolist(), strict=False):
-        assert a[:n] == b[:n] and (n == depth or a[n : n + 1] != b[n : n + 1])
+    for i, a, b, n in zip(at[1:], keys, keys[1:], shared[1:], strict=False):
+        assert i in firsts and a[:1] != b[:1] or a[:n] == b[:n] and (n == depth or a[n : n + 1] != b[n : n + 1])
+
+
+def test_a_shard_larger_than_what_is_held(monkeypatch):
+    """Queues are written to disk and arrays are mapped; results are those of brute force over windows."""
+    rng = random.Random(8)
+    monkeypatch.setattr(induction, "ROOM", 1 << 12)
+    monkeypatch.setattr(induction, "HELD", 1 << 14)
+    written = []
+    push = induction.Queues.push
+    monkeypatch.setattr(induction.Queues, "push", lambda self, *a: (push(self, *a), written.append(self.written))[0])
+    base = bytes(rng.choice(b"abcd ") for _ in range(40_000))
+    parts = [base, b"x" + base[5_000:9_000] + b"y", b"ab" * 3_000, base[:150] * 3, b"", base[20_000:20_099]]
+    docs, starts = [5, 2, 9, 1, 3, 4], [0, 0, 7, 0, 0, 0]
+    seen, want = set(), set()
+    for doc, start, p in sorted(zip(docs, starts, parts, strict=True)):
+        for k in range(len(p) - 99):
+            if (w := p[k : k + 100]) in seen:
+                want.add((doc, start + k))
+            seen.add(w)
+    doc, _, start, count = suffixdedup.repeated(docs, [0] * 6, starts, parts)
+    assert {(d, s + k) for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist(), strict=True) for k in range(n)} == want
+    assert max(written) > 10 * induction.HELD
+
+
+def test_suffix_dedup_of_long_texts_and_hot_anchors(spark, monkeypatch):
+    """A text of several pieces, one letter in a row, a passage in many documents with other words around it."""
+    rng = random.Random(6)
+    monkeypatch.setattr(suffixdedup, "BLOCK", 5_000)
+    monkeypatch.setattr(suffixdedup, "ROWS", 64)
+    monkeypatch.setattr(suffixdedup, "WINDOWS", 200)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, long = word(130), word(30_000)
+    rows = [(k, word(90) + passage + word(rng.randrange(90))) for k in range(60)] + [(100, long), (101, "z" + long[4_000:21_000]), (102, "q" * 12_000), (103, "q" * 300 + "\n" * 9_000), (104, "ab c" * 2_000)]
+    want = removed(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (3, 5_000):
+        monkeypatch.setattr(suffixdedup, "HOT", hot)
+        for parts in (1, 5):
+            got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixdedup.remove(df.repartition(parts)).collect()}
+            assert got == want
+
+
+def test_classes_of_runs_in_small_pieces(monkeypatch):
+    """Streaming over sorted runs gives what looking at all of them at once gives, for any cut and any bound."""
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(6), rng.randrange(5), doc, 0, rng.randrange(9) << 8 | (rng.randrange(2) << 7), 1) for doc in range(150))
+    marks = [(rng.randrange(6), 1, 1000 + k, 0, 0, 0) for k in range(20)]
+    for hot in (2, 4, 100):
+        want = set(marks)
+        for anchor in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == anchor]
+            n = len({r[1] for r in own})
+            for context in {r[1] for r in own}:
+                first, *later = [r for r in own if r[1] == context]
+                want |= {(*r[:5], 0) for r in later}
+                if n > 1 or first[4] >> 7 & 1:
+                    want.add((*first[:5], 2 if n > hot else 1))
+        monkeypatch.setattr(suffixdedup, "HOT", hot)
+        for size in (1, 3, 7, 500):
+            monkeypatch.setattr(suffixdedup, "ROWS", size)
+            given = sorted([*rows, *marks])
+            got = [r for b in suffixdedup._classify(iter([common.batch_of(given[k : k + size], suffixdedup._RUNS) for k in range(0, len(given), size)])) for r in common.rows_of([b])]
+            assert len(got) == len(set(got)) and set(got) == want, (hot, size)
 
 
 def test_warc(spark):
@@ -231,13 +314,89 @@ def test_partitions_of_lengths():
 
 
 def test_rollup(spark):
-    counts = spark.createDataFrame([("a", "en", "v1", 3), ("a", "en", "v1", 4), (None, "de", "v1", None)], "source string, lang string, tokenizer string, n_tokens long")
+    schema = "source string, lang string, tokenizer string, n_tokens long"
+    counts = spark.createDataFrame([("a", "en", "v1", 3), ("a", "en", "v1", 4), (None, "de", "v1", None)], schema)
     store = rollup.Rollup(spark, common.scratch(spark, "test-rollup"))
     assert store.totals().count() == 0
     assert store.commit("1", rollup.inserts(counts)) and not store.commit("1", rollup.inserts(counts))
     store.commit("2", rollup.revisions(counts.limit(1).withColumn("new_tokens", F.lit(10))))
     store.commit("3", rollup.deletes(counts.where("n_tokens = 4")))
-    assert sorted(map(tuple, store.totals().collect()), key=str) == sorted([("a", "en", "v1", 1, 10), (None, "de", "v1", 1, 0)], key=str)
+    want = sorted([("a", "en", "v1", 1, 10), (None, "de", "v1", 1, 0)], key=str)
+    assert sorted(map(tuple, store.totals().collect()), key=str) == want
+    for k in range(4, 8):  # an empty batch, then more than the versions that are kept
+        assert store.commit(str(k), rollup.inserts(counts.limit(0)))
+    assert sorted(map(tuple, store.totals().collect()), key=str) == want and not store.commit("2", rollup.inserts(counts))
+    assert sorted(r[0] for r in store.batches().collect()) == list("1234567")
+    import os
+
+    left = [n for n in os.listdir(common.Store(store.folder).root) if n.startswith("data-")]
+    assert len(left) == rollup.KEPT
+    store.commit("8", rollup.deletes(counts.where("lang = 'de'")))
+    assert [r["lang"] for r in store.totals().collect()] == ["en"]  # keys of which nothing is left go
+
+
+def test_rollup_commits_at_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = common.scratch(spark, "test-rollup")
+    rows = spark.createDataFrame([("a", "en", "v1", 1)], "source string, lang string, tokenizer string, n_tokens long")
+    with ThreadPoolExecutor(6) as pool:
+        done = list(pool.map(lambda name: rollup.Rollup(spark, folder).commit(name, rollup.inserts(rows)), ["x", "x", "y", "z", "y", "x"]))
+    assert sum(done) == 3 and [tuple(r) for r in rollup.Rollup(spark, folder).totals().collect()] == [("a", "en", "v1", 3, 3)]
+
+
+def test_token_counts_equal_the_library():
+    c = rollup.Counting(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    for _ in range(60):
+        t = "".join(rng.choice(rng.choice(["ab", "the quick", "éß中 a", " \n\t a", "1234,.!'s "])) for _ in range(rng.randrange(1, 1500)))
+        assert c.count(t) == len(c.own.encode_ordinary(t)) == sum(rollup.merged(m[0].encode(), c.ranks, c.longest) for m in c.pattern.finditer(t))
+    parts = ["x" * 600, " " * 5_000, "\n" * 700 + "the end", "!\x1c" * 900]
+    assert c.count("".join(parts)) == len(c.own.encode_ordinary("".join(parts)))
+    with pytest.raises(ValueError):
+        rollup.Counting(public_tokenizers.path("byte_bpe_50k.tiktoken"), "other")
+
+
+def test_token_counts_of_very_long_runs(spark):
+    """Two megabytes of blanks, of letters and of one word's lines; each result is that of its own text."""
+    paths = {"v1": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+    texts = [" " * 2_000_000 + "x", "ab" * 100_000, "line\n" * 100_000, None, "", "a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["v1"], r["revised"]) for r in rows.select("doc_id", rollup.token_counts(paths, public_tokenizers.PATTERN, "v1")("text").alias("n")).select("doc_id", "n.*").collect()}
+    c = rollup.Counting(paths["v1"], public_tokenizers.PATTERN)
+    assert got[0][0] == 1_999_999 + c.count(" x") and got[2] == (200_000, c.count("line\n")) and got[3] == got[4] == (0, 0) and got[5] == (2, 2)
+    assert got[1][0] == len(Tokenizer.from_file(BYTE).encode(texts[1], add_special_tokens=False).ids)
+
+
+def test_copies(spark):
+    rows = spark.createDataFrame([(3, "x", "r"), (1, "x", "r"), (1, "x", "r"), (None, "x", "r"), (4, None, "r"), (5, None, "r"), (None, "y", "r"), (None, "y", "r"), (6, "z", "r")], "doc_id long, digest string, first string")
+    got = rollup.copies(rows, common.scratch(spark, "test-copies"))
+    assert got.columns == rows.columns and sorted(map(str, got.collect())) == sorted(map(str, rows.where("digest = 'x' and not doc_id <=> 1").collect()))
+    assert rollup.copies(rows.limit(0), common.scratch(spark, "test-copies")).count() == 0
+
+
+def test_token_counts_query(spark, tmp_path):
+    """The query against counts by the library, in Python: inserts, later copies taken away, revised counts."""
+    from logloom.llm.queries import op6_token_counts
+
+    import tiktoken
+
+    rows = [(i, t, ("en", None)[i % 2], ("a", "b", None)[i % 3]) for i, t in enumerate([*texts(), "same\nsame\nother", "same\nsame\nother"])]
+    rows.append(rows[10])
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = defaultdict(lambda: [0, 0])
+    for version, name in (("v1", "byte_bpe_50k.tiktoken"), ("v2", "byte_bpe_multi_50k.tiktoken")):
+        ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(name), "rb"))}
+        e = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for i, t, lang, source in rows:
+            if t is not None and min(j for j, u, *_ in rows if u == t) < i:
+                continue
+            shown = "\n".join(dict.fromkeys((t or "").split("\n"))) if version == "v1" else t or ""
+            total = want[source, lang, version]
+            total[0] += 1
+            total[1] += len(e.encode_ordinary(shown))
+    got = {tuple(r[:3]): list(r[3:]) for r in op6_token_counts(spark, f"file://{tmp_path}").select("source", "lang", "tokenizer", "n_docs", "n_tokens").collect()}
+    assert got == dict(want)
 
 
 def test_language(spark, docs, nothing):
@@ -245,11 +404,61 @@ def test_language(spark, docs, nothing):
     german = ["der schnelle braune fuchs springt über den faulen hund und läuft durch den wald " * 3] * 10
     rows = spark.createDataFrame([(i, t, "en" if i < 10 else "de") for i, t in enumerate(english + german)], "doc_id long, text string, lang string")
     model = langid.fit(rows)
-    ask = spark.createDataFrame([("the dog runs over the forest",), ("der hund läuft durch den wald",), (None,), ("",), ("12 !?",), ("жжж",)], "text string").withColumn("score", F.lit("own"))
-    got = [(r["lang_pred"], r[2]) for r in langid.predict(ask.drop("score"), model).select("text", "lang_pred", "score").collect()]
-    assert [g[0] for g in got[:5]] == ["en", "de", "und", "und", "und"] and got[5][0] in ("de", "en") and all(0 <= g[1] <= 1 for g in got)
+    ask = spark.createDataFrame([("the dog runs over the forest",), ("der hund läuft durch den wald",), (None,), ("",), ("12 !?",), ("жжж",), ("the dog " * 300_000,)], "text string").withColumn("score", F.lit("own")).withColumn("found", F.lit(1))
+    out = langid.predict(ask.union(ask), model)
+    assert out.columns == ["text", "found", "lang_pred", "score"] and dict(out.dtypes)["score"] == "double"
+    got = [(r["lang_pred"], r["score"]) for r in out.collect()]
+    assert got[:7] == got[7:]
+    assert [g[0] for g in got[:5]] == ["en", "de", "und", "und", "und"] and got[5][0] in ("de", "en") and got[6][0] == "en" and all(0 <= g[1] <= 1 for g in got)
     none = langid.fit(nothing)
     assert [r["lang_pred"] for r in langid.predict(docs.select("text"), none).collect()] == ["und"] * docs.count()
+    assert langid.predict(nothing, model).count() == 0
+    again = langid.fit(rows.union(rows).repartition(7))  # repeated rows and other partitions make no other model
+    assert (again.words == model.words).all() and again.languages == model.languages
+
+
+def grams_of(text):
+    import re
+
+    data = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + (text or "").encode().lower() + b" ") if (text or "").isascii() else None
+    if data is None:
+        data = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()) + b" ")
+    return [data[i : i + langid.N] for i in range(len(data) - langid.N + 1)]
+
+
+def test_filters_hold_all_languages_of_an_n_gram_and_popcounts_decide(spark):
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null and lang is not null")
+    model = langid.fit(table)
+    rows = [(r["text"], r["lang"]) for r in table.collect()]
+    sets = {k: {g for t, l in rows if l == k for g in grams_of(t)} for k in model.languages}
+    bits = lambda g: np.bitwise_and.reduce([model.words[0][at] for at in langid.places(np.array([int.from_bytes(g, "little")], np.uint64), model.bits)])
+    false = 0
+    for g in random.Random(1).sample(sorted(set().union(*sets.values())), 3_000):
+        held = {k for i, k in enumerate(model.languages) if int(bits(g)[0]) >> i & 1}
+        assert held >= {k for k in sets if g in sets[k]}
+        false += len(held) - sum(g in s for s in sets.values())
+    assert false < 0.05 * 3_000 * len(sets)
+    for t in ["the river", "é", "x", *(t for t, _ in rows[:60])]:
+        grams = grams_of(t)
+        found = [sum(int(bits(g)[0]) >> i & 1 for g in grams) for i in range(len(model.languages))]
+        real = [max(0.0, (h - len(grams) * f) / (1 - f)) for h, f in zip(found, model.false_positive, strict=True)]
+        lang, score = langid.decide(model, [t])
+        assert score[0] == pytest.approx(max(real) / sum(real) if sum(real) else 0.0)
+        assert not sum(real) or real[model.languages.index(lang[0])] == max(real)
+    texts_ = [t for t, _ in rows] + ["ab", "der mann ist", "the house", "", None, "a"]
+    random.Random(3).shuffle(texts_)
+    one = [langid.decide(model, [t]) for t in texts_]
+    block = langid.decide(model, texts_)
+    assert [o[0][0] for o in one] == block[0] and [o[1][0] for o in one] == block[1].tolist()
+
+
+def test_more_languages_than_bits_in_a_word(spark):
+    rng = random.Random(4)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(20)] for k in range(70)}
+    rows = [(k * 100 + i, " ".join(rng.sample(w, 12)), name) for k, (name, w) in enumerate(words.items()) for i in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.words.shape[0] == 2 and langid.decide(model, [" ".join(w[:5]) for w in words.values()])[0] == list(words)
 
 
 def test_held_out_accuracy(spark):
@@ -287,6 +496,47 @@ def test_near_join(spark, docs, nothing, monkeypatch, block):
     assert tuple(nearjoin.join(spark.createDataFrame([(None, "a b c d e f")], "doc_id long, text string")).first()) == (None, None, 0, None)
 
 
+def test_near_join_of_many_links(spark, monkeypatch):
+    """Hundreds of pairs just above and just below the bound, in chains and crowds, against brute force."""
+    monkeypatch.setattr(nearjoin, "BLOCK_CLASSES", 16)
+    rng = random.Random(12)
+    rows = []
+    for _ in range(40):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(rng.randrange(120, 400))]
+        for _ in range(6):  # a change in the middle breaks five runs, so some changes reach 0.78 to 0.86
+            now = list(base)
+            for at in rng.sample(range(5, len(now) - 5), max(1, round(len(now) * rng.uniform(0.008, 0.024)))):
+                now[at] = f"n{rng.randrange(10**6)}"
+            rows.append(" ".join(now))
+        for _ in range(3):  # a chain: each differs a little more
+            base = [*base[len(base) // 14 :], *(f"m{rng.randrange(10**6)}" for _ in range(len(base) // 14))]
+            rows.append(" ".join(base))
+    crowd = [f"c{k}" for k in range(150)]
+    rows += [" ".join([*crowd[:k], "new", *crowd[k + 1 :]]) for k in range(50)]
+    rows = list(enumerate(rows))
+    rng.shuffle(rows)
+    want = links_of(sorted(rows))
+    assert sum(n for _, n, _ in want.values()) > 1_500
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["group_id"]) for r in nearjoin.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_id_ranges(spark):
+    """Ranges of about equal weight wherever the ids lie, ascending, the same for any partitions."""
+    rng = random.Random(3)
+    for ids in ([*range(20_000), 1 << 60], [-(1 << 63), (1 << 63) - 1, *range(-5_000, 5_000)], sorted(rng.sample(range(1 << 40), 5_000)) + [(1 << 62) + k for k in range(5_000)], [7] * 300 + [8], [5]):
+        df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id long")
+        found = []
+        for parts in (1, 6):
+            number, n = common.id_ranges(df.repartition(parts), "id", F.lit(100), 20_000)
+            found.append(sorted(((r["id"] is None, r["id"] or 0), r["s"]) for r in df.select("id", number.alias("s")).collect()))
+        assert found[0] == found[1] and [s for _, s in found[0]] == sorted(s for _, s in found[0]) and found[0][-1][1] == n - 1
+        sizes = np.bincount([s for _, s in found[0][:-1]], minlength=n)
+        if len(set(ids)) > 1_000:
+            assert sizes.max() <= 2.2 * len(ids) / n and n >= 8
+    assert common.id_ranges(df.limit(0), "id", F.lit(1), 10)[1] == 1
+
+
 def test_bands():
     bands, rows = nearjoin.bands_for(0.8, 0.9999, 160)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 160
