@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,15 +18,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns
+from ..functions.columns import hash_value, redact_all
 from ..functions.patterns import to_java
 
 # The strategy of each entity.
 STRATEGIES = {
-    "replace": "PERSON EMAIL_ADDRESS LOCATION ADDRESS CITY COUNTRY IP_ADDRESS DOMAIN_NAME URL DATE_TIME DATE TIME ORGANIZATION COMPANY JOB_TITLE DIAGNOSIS MEDICATION COURT LAW_FIRM HOSTNAME LOG_SOURCE CONFIG_KEY ENV_VAR".split(),
-    "hash": "PERSON_ID ID KEY UUID MEDICAL_RECORD CASE_NUMBER PASSWORD SECRET_KEY ACCESS_TOKEN PROCESS_ID THREAD_ID SESSION_ID".split(),
-    "mask": "PHONE_NUMBER CREDIT_CARD IBAN_CODE ZIP_CODE MAC_ADDRESS BANK_ACCOUNT CREDIT_SCORE".split(),
-    "keep": "HASH CURRENCY PORT PROTOCOL LOG_LEVEL LOG_TYPE SETTING".split(),
-}
+    "PERSON": "replace", "EMAIL_ADDRESS": "replace", "LOCATION": "replace", "ADDRESS": "replace", "CITY": "replace", "COUNTRY": "replace",
+    "IP_ADDRESS": "replace", "DOMAIN_NAME": "replace", "URL": "replace", "DATE_TIME": "replace", "DATE": "replace", "TIME": "replace",
+    "ORGANIZATION": "replace", "COMPANY": "replace", "JOB_TITLE": "replace", "DIAGNOSIS": "replace", "MEDICATION": "replace", "COURT": "replace",
+    "LAW_FIRM": "replace", "HOSTNAME": "replace", "LOG_SOURCE": "replace", "CONFIG_KEY": "replace", "ENV_VAR": "replace",
+    "PERSON_ID": "hash", "ID": "hash", "KEY": "hash", "UUID": "hash", "MEDICAL_RECORD": "hash", "CASE_NUMBER": "hash", "PASSWORD": "hash",
+    "SECRET_KEY": "hash", "ACCESS_TOKEN": "hash", "PROCESS_ID": "hash", "THREAD_ID": "hash", "SESSION_ID": "hash",
+    "PHONE_NUMBER": "mask", "CREDIT_CARD": "mask", "IBAN_CODE": "mask", "ZIP_CODE": "mask", "MAC_ADDRESS": "mask", "BANK_ACCOUNT": "mask",
+    "CREDIT_SCORE": "mask",
+    "HASH": "keep", "CURRENCY": "keep", "PORT": "keep", "PROTOCOL": "keep", "LOG_LEVEL": "keep", "LOG_TYPE": "keep", "SETTING": "keep",
+}
 
 
 @dataclass(frozen=True)
@@ -53,7 +60,7 @@ RECOGNIZERS = (
 class Operators:
     """Strategy and parameters by entity; DEFAULT serves entities without one."""
 
-    strategies: dict[str, str] = field(default_factory=lambda: {e: s for s, entities in STRATEGIES.items() for e in entities})
+    strategies: dict[str, str] = field(default_factory=lambda: dict(STRATEGIES))
     params: dict[str, dict] = field(default_factory=lambda: {"hash": {"salt": patterns.FIELD_SALT, "truncate_length": 16}, "mask": {"mask_char": "*", "mask_ratio": 0.7}})
 
     def apply(self, entity: str, value: str) -> str:
@@ -88,15 +95,19 @@ def recognizers(config: dict) -> tuple[Recognizer, ...]:
 
 
 def settle(spans: list[tuple[str, int, int, float, str]]) -> list[tuple[str, int, int, float, str]]:
-    """Spans (entity, start, end, score, recognizer) without overlaps, in order of place."""
+    """Spans (entity, start, end, score, recognizer) without overlaps, in order of place. Kept spans lie apart, so of
+    them only the neighbours of a new one can overlap it."""
+    starts: list[int] = []
     kept: list[tuple[str, int, int, float, str]] = []
     for s in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
-        if s[1] < s[2] and all(s[2] <= k[1] or s[1] >= k[2] for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s[1])
+        k = bisect_left(starts, s[1])
+        if s[1] < s[2] and (not k or kept[k - 1][2] <= s[1]) and (k == len(kept) or kept[k][1] >= s[2]):
+            starts.insert(k, s[1])
+            kept.insert(k, s)
+    return kept
 
 
-_SPANS = "array<struct<entity_type: string, start: int, end: int, score: double, recognizer: string>>"
+SPANS = "array<struct<entity_type: string, start: int, end: int, score: double, recognizer: string>>"
 
 
 def anonymize(df: DataFrame, text: str = "content", known: tuple[Recognizer, ...] = RECOGNIZERS, ops: Operators | None = None, entities: set[str] | None = None, threshold: float = 0.7, more: Callable[[str], list[tuple[str, int, int, float, str]]] | None = None) -> DataFrame:
@@ -105,7 +116,7 @@ def anonymize(df: DataFrame, text: str = "content", known: tuple[Recognizer, ...
     ops = ops or Operators()
     own = [r for r in known if r.score >= threshold and (entities is None or r.entity in entities)]
 
-    @F.pandas_udf(f"pii {_SPANS}, anonymized string")
+    @F.pandas_udf(f"pii {SPANS}, anonymized string")
     def rewrite(parts: pd.Series) -> pd.DataFrame:
         compiled = [(r, re.compile(r.pattern)) for r in own]
         rows = []
@@ -128,15 +139,47 @@ def anonymize(df: DataFrame, text: str = "content", known: tuple[Recognizer, ...
     for r in own:
         hit = hit | value.rlike(to_java(r.pattern)[0])
     out = df.withColumn("__a", rewrite(F.when(hit, value)))
-    none = F.array().cast(_SPANS)
+    none = F.array().cast(SPANS)
     return out.select(*df.columns, F.when(value.isNotNull(), F.coalesce("__a.pii", none)).alias("pii"), F.coalesce("__a.anonymized", value).alias("anonymized"))
 
 
-def anonymize_fields(data: Column, names: tuple[str, ...] = patterns.ALWAYS_ANONYMIZE, salt: str = patterns.FIELD_SALT) -> Column:
-    """The values of these keys of a map, hashed."""
-    from ..functions.columns import hash_value
-
-    return F.transform_values(data, lambda k, v: F.when(F.lower(k).isin(*names), hash_value(v, salt)).otherwise(v))
+def anonymize_fields(data: Column, names: tuple[str, ...] = patterns.ALWAYS_ANONYMIZE, salt: str = patterns.FIELD_SALT, hashed: tuple[str, ...] = patterns.HASHED_FIELDS, masked: tuple[str, ...] = patterns.MASKED_FIELDS, mask: str = patterns.FIELD_MASK) -> Column:
+    """The values of these keys (in any case) of a map: hashed, masked, or replaced by the field's placeholder, else by
+    ``<NAME>``. Null and empty values stay, as there is nothing in them."""
+    shown = {n: patterns.PLACEHOLDERS.get(patterns.FIELD_PLACEHOLDERS.get(n, ""), f"<{n.upper()}>") for n in names}
+    plain = [n for n in names if n not in hashed and n not in masked]
+
+    def value(k: Column, v: Column) -> Column:
+        low, out = F.lower(k), v
+        for n in plain:
+            out = F.when(low == n, F.lit(shown[n])).otherwise(out)
+        of = lambda group: [n for n in names if n in group]
+        out = F.when(low.isin(of(masked)), F.lit(mask)).otherwise(out) if of(masked) else out
+        out = F.when(low.isin(of(hashed)), hash_value(v, salt)).otherwise(out) if of(hashed) else out
+        return F.when(v.isNull() | (v == ""), v).otherwise(out)
+
+    return F.transform_values(data, value)
+
+
+def field_rules(config: dict) -> dict:
+    """The arguments of :func:`anonymize_fields` from a configuration (section ``drain3.anonymization``)."""
+    own = config.get("drain3", {}).get("anonymization", {})
+    methods, out = own.get("methods", {}), {}
+    if not own.get("enabled", True):
+        return {"names": ()}
+    if "always_anonymize" in own:
+        out["names"] = tuple(own["always_anonymize"] or ())
+    if "hash" in methods:
+        out |= {"hashed": tuple(methods["hash"].get("fields", ())), "salt": methods["hash"].get("salt", patterns.FIELD_SALT)}
+    if "mask" in methods:
+        out |= {"masked": tuple(methods["mask"].get("fields", ())), "mask": methods["mask"].get("pattern", patterns.FIELD_MASK)}
+    return out
+
+
+def hybrid(df: DataFrame, text: str = "content", **how) -> DataFrame:
+    """Both ways side by side, each on the original: pii and anonymized from the recognizers, anonymized_classic from
+    the patterns in their order."""
+    return anonymize(df, text, **how).withColumn("anonymized_classic", redact_all(F.col(text)))
 
 
 def catalogue(spark: SparkSession, known: tuple[Recognizer, ...] = RECOGNIZERS, ops: Operators | None = None, entities: set[str] | None = None) -> DataFrame:

@@ -1,12 +1,11 @@
 """The parser chain: JSON, CSV, CEF, key=value, formats by pattern, and a fallback; the first that fits is taken.
 
-A parser is a nullable column map<string,string> of a content column. Only strict JSON and CSV lines with quotes
-need Python; both see nothing but the lines that a native guard lets through.
+A parser is a nullable column map<string,string> of a content column. Only strict JSON needs Python: its function gets
+the lines that begin with a brace, and nulls for the others. Each parser is tried on what those before it left over.
 """
 
 from __future__ import annotations
 
-import csv
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -15,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.patterns import PARSING, to_java
 
 Parser = Callable[[Column], Column]
@@ -43,34 +43,34 @@ def json_parser(content: Column) -> Column:
 
 
 def csv_fields(content: Column, delimiter: str = ",") -> Column:
-    """The fields of one CSV line (array<string>), null where there is one field or none."""
+    """The fields of one CSV line (array<string>), null where there is one field or none.
 
-    @F.pandas_udf("array<string>")
-    def quoted(parts: pd.Series) -> pd.Series:
-        def one(text: str | None):
-            if text is None:
-                return None
-            try:
-                return next(csv.reader([text], delimiter=delimiter), None)
-            except csv.Error:
-                return None
+    A field that begins with a quote ends at the next quote that is not doubled; what follows up to the delimiter
+    belongs to it, quotes too. Without such a quote it reaches to the end of the line."""
+    d = "\\Q" + delimiter + "\\E"
+    inside = r'"([^"]*+(?:""[^"]*+)*+)'
+    one = rf'(?s){d}(?:{inside}(?:"(?:(?!{d}).)*+|$)|(?:(?!{d}).)*+)' if len(delimiter) > 1 else rf'(?s){d}(?:{inside}(?:"[^{d}]*+|$)|[^{d}]*+)'
 
-        return parts.map(one)
+    def field(m: Column) -> Column:
+        text = F.substring(m, F.lit(len(delimiter) + 1), F.length(m))
+        quoted = F.concat(F.replace(F.regexp_extract(text, f"^{inside}", 1), F.lit('""'), F.lit('"')), F.regexp_extract(text, rf'(?s)^{inside}"(.*)$', 2))
+        return F.when(text.startswith('"'), quoted).otherwise(text)
 
-    plain = F.split(content, "\\Q" + delimiter + "\\E")
-    has = content.contains(delimiter)
-    fields = F.when(content.contains('"'), quoted(F.when(has & content.contains('"'), content))).when(has, plain)
-    return F.when((F.size(fields) > 1) & (F.array_max(F.transform(fields, F.length)) <= FIELD_LIMIT), fields)
+    found = F.transform(F.regexp_extract_all(F.concat(F.lit(delimiter), content), F.lit(one), F.lit(0)), field)
+    fields = F.when(content.contains(delimiter), F.when(content.contains('"'), found).otherwise(F.split(content, d)))
+    return let(fields, lambda f: F.when((F.size(f) > 1) & (F.array_max(F.transform(f, F.length)) <= FIELD_LIMIT), f))
 
 
 def csv_parser(delimiter: str = ",", header: list[str] | None = None) -> Parser:
-    def parse(content: Column) -> Column:
-        fields = csv_fields(content, delimiter)
-        if header:
-            return F.when(F.size(fields) == len(header), F.map_from_arrays(F.lit(header), fields))
+    def named(fields: Column) -> Column:
         names = F.transform(F.sequence(F.lit(1), F.size(fields)), lambda i: F.concat(F.lit("field_"), i.cast("string")))
         return F.when(fields.isNotNull(), F.map_from_arrays(names, fields))
 
+    def parse(content: Column) -> Column:
+        if header:
+            return let(csv_fields(content, delimiter), lambda f: F.when(F.size(f) == len(header), F.map_from_arrays(F.lit(header), f)))
+        return let(csv_fields(content, delimiter), named)
+
     return parse
 
 
@@ -88,17 +88,26 @@ def cef_parser(content: Column) -> Column:
     named = F.map_from_entries(entries)
     raw = F.create_map(F.lit("raw_extension"), extension)
     more = F.when(extension == "", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).when(extension.rlike(r"(?U)\w="), named).otherwise(raw)
-    return F.when(content.rlike(_CEF), F.map_concat(header, more))
+    return F.when(content.startswith("CEF:") & content.rlike(_CEF), F.map_concat(header, more))
 
 
 def key_value_parser(delimiter: str = "=", min_pairs: int = 3) -> Parser:
+    """Pairs of a word, the delimiter and a value, in quotes or up to white space; the last of one key counts. Pairs are
+    found in one pass. A word is tried where it begins only, which tells the same pairs as long as the delimiter itself
+    does not begin like a word, and keeps the time in proportion to the line."""
     quoted = "".join("\\" + c if not c.isalnum() else c for c in delimiter)
-    pattern = rf'(?U)(\w+){quoted}(?:"([^"]*)"|(\S+))'
+    word = r"\w+" if delimiter[:1].isalnum() or delimiter[:1] == "_" else r"(?<!\w)\w++"
+    pattern = rf'(?U)({word}){quoted}(?:"[^"]*"|\S+)'
+
+    def pair(m: Column) -> Column:
+        key = F.regexp_extract(m, rf"(?U)^(\w+?){quoted}", 1) if word == r"\w+" else F.substring_index(m, delimiter, 1)
+        value = F.substring(m, F.length(key) + len(delimiter) + 1, F.length(m))
+        bare = F.when(value.rlike('^"[^"]*"$'), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.struct(key.alias("key"), bare.alias("value"))
 
     def parse(content: Column) -> Column:
-        found = [F.regexp_extract_all(content, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
-        values = F.zip_with(found[1], found[2], lambda q, u: F.when(q != "", q).otherwise(u))
-        return F.when(F.size(found[0]) >= min_pairs, F.map_from_arrays(found[0], values))
+        found = F.when(content.contains(delimiter), F.regexp_extract_all(content, F.lit(pattern), F.lit(0)))
+        return let(found, lambda f: F.when(F.size(f) >= min_pairs, F.map_from_entries(F.transform(f, pair))))
 
     return parse
 
@@ -146,8 +155,11 @@ def chain(config: dict | None = None) -> list[Named]:
 def parse(lines: DataFrame, parsers: list[Named] | None = None) -> DataFrame:
     """Add parser_name, parsed_data (map<string,string>) and, for JSON, payload (variant)."""
     parsers = parsers or chain()
-    tried = lines.select("*", *(p.parse(F.col("content")).alias(f"__p{k}") for k, p in enumerate(parsers)))
-    name = F.coalesce(*(F.when(F.col(f"__p{k}").isNotNull(), F.lit(p.name)) for k, p in enumerate(parsers)))
-    data = F.coalesce(*(F.col(f"__p{k}") for k in range(len(parsers))))
-    out = tried.select(*lines.columns, name.alias("parser_name"), data.alias("parsed_data"))
+    content = F.col("content")
+    first = [k for k, p in enumerate(parsers) if p.name == "JSONParser"]  # Python, so it stands in a projection of its own
+    tried = lines.select("*", *(parsers[k].parse(content).alias("__json") for k in first))
+    own = [F.col("__json") if k in first else p.parse(content) for k, p in enumerate(parsers)]
+    as_named = lambda name: lambda m: F.when(m.isNotNull(), F.struct(F.lit(name).alias("name"), m.alias("data")))
+    named = [let(c, as_named(p.name)) for c, p in zip(own, parsers, strict=True)]
+    out = tried.select(*lines.columns, F.coalesce(*named).alias("__p")).select(*lines.columns, F.col("__p.name").alias("parser_name"), F.col("__p.data").alias("parsed_data"))
     return out.withColumn("payload", F.when(F.col("parser_name") == "JSONParser", F.try_parse_json("content")))

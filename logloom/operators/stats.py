@@ -17,13 +17,34 @@ def summary(parsed: DataFrame) -> DataFrame:
 
 
 def anonymization_summary(rows: DataFrame) -> DataFrame:
-    """How many records hold spans, and spans by entity."""
+    """Spans by entity."""
     return rows.select(F.explode_outer("pii").alias("p")).groupBy("p.entity_type").agg(F.count("p").alias("n")).where("entity_type is not null")
 
 
+def anonymization_rate(rows: DataFrame) -> DataFrame:
+    """How many records there are, how many hold spans, and their share."""
+    held = F.count_if(F.size("pii") > 0)
+    return rows.agg(F.count(F.lit(1)).alias("total"), held.alias("anonymized"), F.round(held / F.count(F.lit(1)), 6).alias("rate"), F.coalesce(F.sum(F.size("pii")), F.lit(0)).alias("spans"))
+
+
+def field_counts(rows: DataFrame) -> DataFrame:
+    """For each key of parsed_data how many records have it, and in how many its value is another in
+    parsed_data_anonymized."""
+    pairs = rows.select(F.explode("parsed_data").alias("field", "value"), "parsed_data_anonymized")
+    changed = ~F.col("value").eqNullSafe(F.try_element_at("parsed_data_anonymized", F.col("field")))
+    return pairs.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if(changed).alias("n_anonymized"))
+
+
+#: A report has a column for each key; more keys than this are refused rather than collected.
+MOST_KEYS = 10_000
+
+
 def keys(parsed: DataFrame) -> list[str]:
     """The sorted union of the keys of all records; as many as there are columns in a report."""
-    return [r[0] for r in parsed.select(F.explode(F.map_keys("parsed_data")).alias("k")).distinct().orderBy("k").collect()]
+    found = sorted(r[0] for r in parsed.select(F.explode(F.map_keys("parsed_data")).alias("k")).distinct().limit(MOST_KEYS + 1).collect())
+    if len(found) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} distinct keys: a report with a column for each is not possible")
+    return found
 
 
 def search_index(parsed: DataFrame, at: str = "timestamp") -> DataFrame:

@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import SPACE
+from ..session import stored
+
 WILD = "<*>"
 
 
@@ -24,6 +28,7 @@ class Cluster:
     number: int
     tokens: list[str]
     size: int = 0
+    wild: int = 0
 
 
 class Miner:
@@ -41,12 +46,12 @@ class Miner:
         found = self._best(leaf, tokens) if leaf is not None else None
         if found is None:
             self.count += 1
-            found = Cluster(self.count, tokens, 1)
+            found = Cluster(self.count, tokens, 1, tokens.count(WILD))
             self._leaf(tokens, insert=True).append(found)
             return found.number, " ".join(tokens), "cluster_created"
         merged = [a if a == b else WILD for a, b in zip(found.tokens, tokens, strict=True)]
         change = "none" if merged == found.tokens else "cluster_template_changed"
-        found.tokens, found.size = merged, found.size + 1
+        found.tokens, found.size, found.wild = merged, found.size + 1, merged.count(WILD)
         return found.number, " ".join(merged), change
 
     def _leaf(self, tokens: list[str], insert: bool) -> list[Cluster] | None:
@@ -70,25 +75,28 @@ class Miner:
         return node["leaf"]
 
     def _best(self, leaf: list[Cluster], tokens: list[str]) -> Cluster | None:
-        best, best_rank = None, (-1.0, -1)
+        """The cluster with most equal tokens, then with most wildcards, then the earliest, if it is similar enough."""
+        best, best_rank, has_wild = None, (-1, -1), WILD in tokens
         for cluster in leaf:
-            wild = sum(t == WILD for t in cluster.tokens)
-            same = sum(a == b and a != WILD for a, b in zip(cluster.tokens, tokens, strict=True))
-            rank = (same / len(tokens) if tokens else 1.0, wild)
-            if rank > best_rank:
+            same = sum(map(eq, cluster.tokens, tokens))
+            if has_wild:
+                same -= sum(a == WILD == b for a, b in zip(cluster.tokens, tokens, strict=True))
+            if same >= best_rank[0] and (rank := (same, cluster.wild)) > best_rank:
                 best, best_rank = cluster, rank
-        return best if best is not None and best_rank[0] >= self.similarity else None
+        share = best_rank[0] / len(tokens) if tokens else 1.0
+        return best if best is not None and share >= self.similarity else None
 
 
 def n_tokens(message: Column) -> Column:
-    return F.size(F.filter(F.split(message, r"(?U)\s+"), lambda t: t != ""))
+    """The count of tokens, as :meth:`Miner.add` splits a message."""
+    return F.size(F.filter(F.split(message, f"(?U){SPACE}+"), lambda t: t != ""))
 
 
 def mine(messages: DataFrame, similarity: float = 0.4, depth: int = 4, max_children: int = 999_999) -> DataFrame:
     """From rows (miner, seq, message) the columns cluster_id, template (as it was on arrival) and change_type.
 
     One shuffle, by miner and count of tokens; a task holds the clusters of its groups, not their messages. Null
-    messages are left out.
+    messages are left out. The mined rows are written to the shared folder, as they are read twice and mining is dear.
     """
     rows = messages.where("message is not null").select("miner", F.col("seq").cast("long").alias("seq"), "message", n_tokens(F.col("message")).alias("n"))
     dealt = rows.repartition("miner", "n").sortWithinPartitions("miner", "n", "seq")
@@ -104,7 +112,7 @@ def mine(messages: DataFrame, similarity: float = 0.4, depth: int = 4, max_child
                 out.append((name, seq, message, template, change, first.setdefault(number, seq)))
             yield pd.DataFrame(out, columns=["miner", "seq", "message", "template", "change_type", "first_seq"])
 
-    mined = dealt.mapInPandas(work, "miner string, seq long, message string, template string, change_type string, first_seq long")
+    mined = stored(dealt.mapInPandas(work, "miner string, seq long, message string, template string, change_type string, first_seq long"), "mined")
     ids = numbered(mined.where("change_type = 'cluster_created'").select("miner", F.col("seq").alias("first_seq")))
     return mined.join(ids, ["miner", "first_seq"]).select("miner", "seq", "message", "cluster_id", "template", "change_type")
 

@@ -6,7 +6,9 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import anonymize, parsers, templates
+from ..session import stored
 from ..sinks import reports
 from ..sources import lines as source
 
@@ -28,27 +30,49 @@ def get_value(config: dict, path: str, default=None):
     return config
 
 
+# What a preview says in place of a text.
+DISABLED, NOTHING = "[PREVIEW] Presidio is disabled.", "[PREVIEW] No entities enabled."
+
+
+def enabled_entities(pii: dict) -> set[str] | None:
+    """The entities whose flags are on; None (all) only where there are no flags."""
+    flags = pii.get("analyzer", {}).get("entities")
+    return None if flags is None else {name.upper() for name, on in flags.items() if on}
+
+
+def miner_settings(config: dict, kind: str) -> dict:
+    """similarity, depth and max_children of a miner: its own section's, else the common ones, else the defaults."""
+    drain = config.get("drain3", {})
+    own = drain.get(kind, {})
+    pick = lambda name, default: own.get(name, drain.get(name, default))
+    return {"similarity": pick("similarity_threshold", 0.4), "depth": pick("depth", 4), "max_children": pick("max_children", 1000)}
+
+
 def analyse(lines: DataFrame, config: dict | None = None) -> DataFrame:
-    """From lines (source_file, line_number, content) one record each; blank lines are left out."""
+    """From lines (source_file, line_number, content) one record each; blank lines are left out. Parsing and detection
+    run once: their records are written to the shared folder, and mining and the result read them there."""
     config = config or {}
     pii = config.get("presidio", {})
     parsed = parsers.parse(source.not_blank(lines), parsers.chain(config))
     if pii.get("enabled", True):
         ops = anonymize.operators(pii) if pii.get("anonymizer") else None
-        wanted = {k.upper() for k, on in pii.get("analyzer", {}).get("entities", {}).items() if on} or None
-        parsed = anonymize.anonymize(parsed, known=anonymize.recognizers(pii), ops=ops, entities=wanted, threshold=get_value(pii, "analyzer.analysis.confidence_threshold", 0.7))
+        parsed = anonymize.anonymize(parsed, known=anonymize.recognizers(pii), ops=ops, entities=enabled_entities(pii), threshold=get_value(pii, "analyzer.analysis.confidence_threshold", 0.7))
     else:
-        parsed = parsed.withColumn("pii", F.array().cast(anonymize._SPANS)).withColumn("anonymized", F.col("content"))
-    parsed = parsed.withColumn("parsed_data_anonymized", anonymize.anonymize_fields(F.col("parsed_data")))
-    drain = config.get("drain3", {})
-    both = parsed.select("source_file", "line_number", F.explode(F.create_map(F.lit("original"), F.col("content"), F.lit("anonymized"), F.col("anonymized"))).alias("kind", "message"))
-    keyed = both.select(F.to_json(F.struct("kind", "source_file")).alias("miner"), "kind", "source_file", F.col("line_number").alias("seq"), "message")
-    own = drain.get("original", {})
-    mined = templates.mine(keyed.select("miner", "seq", "message"), own.get("similarity_threshold", drain.get("similarity_threshold", 0.4)), own.get("depth", drain.get("depth", 4)), own.get("max_children", drain.get("max_children", 1000)))
-    key = F.from_json("miner", "kind string, source_file string")
-    mined = mined.select(key["kind"].alias("kind"), key["source_file"].alias("source_file"), F.col("seq").alias("line_number"), F.struct("cluster_id", "template", "change_type").alias("drain"))
-    wide = mined.groupBy("source_file", "line_number").agg(F.max(F.when(F.col("kind") == "original", F.col("drain"))).alias("drain_original"), F.max(F.when(F.col("kind") == "anonymized", F.col("drain"))).alias("drain_anonymized"))
-    return parsed.join(wide, ["source_file", "line_number"], "left")
+        parsed = parsed.withColumn("pii", F.array().cast(anonymize.SPANS)).withColumn("anonymized", F.col("content"))
+    if pii.get("anonymization_mode") in ("classic", "hybrid"):
+        parsed = parsed.withColumn("anonymized_classic", C.redact_all(F.col("content"), configured=True))
+        if pii["anonymization_mode"] == "classic":
+            parsed = parsed.withColumn("anonymized", F.col("anonymized_classic"))
+    parsed = parsed.withColumn("parsed_data_anonymized", anonymize.anonymize_fields(F.col("parsed_data"), **anonymize.field_rules(config)))
+    # a line that no parser fits is a field itself; its anonymized text stands for it
+    parsed = parsed.withColumn("parsed_data_anonymized", F.transform_values("parsed_data_anonymized", lambda k, v: F.when(k == "raw_content", F.col("anonymized")).otherwise(v)))
+    parsed = stored(parsed.drop("payload"), "parsed").withColumn("payload", F.when(F.col("parser_name") == "JSONParser", F.try_parse_json("content")))
+    for kind, message in (("original", "content"), ("anonymized", "anonymized")):
+        keyed = parsed.select(F.col("source_file").alias("miner"), F.col("line_number").alias("seq"), F.col(message).alias("message"))
+        mined = templates.mine(keyed, **miner_settings(config, kind))
+        mined = mined.select(F.col("miner").alias("source_file"), F.col("seq").alias("line_number"), F.struct("cluster_id", "template", "change_type").alias(f"drain_{kind}"))
+        parsed = parsed.join(mined, ["source_file", "line_number"], "left")
+    return parsed
 
 
 def run_analysis(spark: SparkSession, path: str, kind: str, out: str, config: dict | None = None) -> str:
@@ -64,11 +88,10 @@ def preview(spark: SparkSession, text: str, config: dict | None = None) -> str:
     if not text:
         return ""
     if not pii.get("enabled", True):
-        return "[PREVIEW] Presidio is disabled."
-    flags = pii.get("analyzer", {}).get("entities", {})
-    if flags and not any(flags.values()):
-        return "[PREVIEW] No entities enabled."
-    wanted = {k.upper() for k, on in flags.items() if on} or None
+        return DISABLED
+    wanted = enabled_entities(pii)
+    if wanted is not None and not wanted:
+        return NOTHING
     one = spark.createDataFrame([(text,)], "content string")
     ops = anonymize.operators(pii) if pii.get("anonymizer") else None
     return anonymize.anonymize(one, known=anonymize.recognizers(pii), ops=ops, entities=wanted).first()["anonymized"]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or keep plans healthy; all can be set at run time.
 RUNTIME_CONF = {
@@ -38,3 +40,21 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder (not yet made) in the folder that ``spark.checkpoint.dir`` names, which the whole cluster shares.
+    Where it is unset, a folder of this machine serves, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "logloom-scratch")
+    return f"{base.rstrip('/')}/logloom/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: they are made once, and the lineage ends there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -72,24 +72,29 @@ def test_csv_fields_query_takes_every_line(spark, tmp_path):
     assert got == want and ("0", 1) in got and len(got) > 5
 
 
-def test_csv_fields_query_on_the_given_table(spark):
-    """Rows without quotes are those of the SQL; all lines with quotes are read by csv.reader."""
+def test_csv_fields_equal_the_csv_module(spark):
     import csv
 
-    import duckdb
+    rng = random.Random(11)
+    texts = ["".join(rng.choice('",a b"') for _ in range(rng.randrange(0, 14))) for _ in range(1_500)] + ['"' + "x" * 50_000 + '",y', '""' * 3_000 + ",b", '"' + '""' * 3_000 + ",b", "a," + "z" * 140_000]
+    for delimiter in (",", ";"):
+        rows = spark.createDataFrame([(i, t.replace(",", delimiter)) for i, t in enumerate(texts)], "i int, content string").repartition(4)
+        for r in rows.select("i", parsers.csv_fields(F.col("content"), delimiter).alias("f")).collect():
+            want = next(csv.reader([texts[r["i"]].replace(",", delimiter)], delimiter=delimiter), []) if len(texts[r["i"]]) < 120_000 else []
+            assert (r["f"] or []) == (want if len(want) > 1 else []), texts[r["i"]][:80]
 
-    from logloom import queries
 
-    sf = "/root/testdata/sf0.01"
-    own = lambda r: (str(r[0]), *r[1:])
-    got = sorted(own(tuple(r)) for r in queries.csv_fields(spark, sf).collect())
-    lines = {(str(r["source_file"]), r["line_number"]): r["content"] for r in queries.lines(spark, sf).where("contains(content, '\"')").collect()}
-    db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    assert [r for r in got if r[:2] not in lines] == sorted(own(r) for r in db.execute(queries.oracle_sql()["csv_fields"]).fetchall())
-    read = {at: next(csv.reader([text])) for at, text in lines.items() if "," in text}
-    assert [r for r in got if r[:2] in lines] == sorted((*at, len(f), f[0], f[-1]) for at, f in read.items() if len(f) > 1)
-    assert any(r[:2] in lines for r in got)
+def test_pairs_equal_the_pattern(spark):
+    import re
+
+    rng = random.Random(13)
+    texts = ["".join(rng.choice('ab= "é_') for _ in range(rng.randrange(0, 24))) for _ in range(1_500)] + ["w" * 200_000, "w" * 100_000 + "=1 b=2 c=3"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, content string").repartition(4)
+    for r in rows.select("i", parsers.key_value_parser()(F.col("content")).alias("m")).collect():
+        found = re.findall(r'(\w+)=(?:"([^"]*)"|(\S+))', texts[r["i"]]) if len(texts[r["i"]]) < 1_000 or "=" in texts[r["i"]] else []
+        assert r["m"] == ({k: q or u for k, q, u in found} if len(found) >= 3 else None), texts[r["i"]][:80]
+    two = spark.createDataFrame([("a:=1 b:=\"x y\" c:=3",), ("a1 bx2 cx3 dx4",)], "content string")
+    assert two.select(parsers.key_value_parser(":=")(F.col("content")).alias("m")).first()["m"] == {"a": "1", "b": "x y", "c": "3"}
 
 
 def test_known_hashes_and_masks(spark):
@@ -112,6 +117,80 @@ def test_anonymize_strategies(spark):
         anonymize.Operators({"X": "other"}).apply("X", "v")
 
 
+def test_strategies_agree_with_the_columns(spark):
+    """The same masks and hashes in detected spans and in fields."""
+    values = ["", "a", "555-1234", "é-1 x", "1111-2222-3333-4444", "\U0001f600ab"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    for from_end in (True, False):
+        for keep in (True, False):
+            for how in ({"chars_to_mask": 4, "masking_char": "#"}, {"mask_ratio": 0.7, "mask_char": "$"}):
+                ops = anonymize.Operators({"X": "mask"}, {"mask": {**how, "from_end": from_end, "preserve_format": keep}})
+                own = C.mask_value(F.col("v"), how.get("masking_char", how.get("mask_char")), how.get("chars_to_mask"), how.get("mask_ratio", 0.7), from_end, keep)
+                assert {r["v"]: r["m"] for r in rows.select("v", own.alias("m")).collect()} == {v: ops.apply("X", v) for v in values}
+    hashed = anonymize.Operators({"X": "hash"}, {"hash": {"salt": "s", "truncate_length": 12, "include_entity_type": True}})
+    assert {r["v"]: r["m"] for r in rows.select("v", C.hash_value(F.col("v"), "s", 12, "X_").alias("m")).collect()} == {v: hashed.apply("X", v) for v in values}
+
+
+def test_always_anonymized_fields(spark):
+    names = "ip_address user_id session_id device_id mac_address email phone credit_card ssn path srcip dstip ip devname hostname device_name fortinet_device filename source_file vd".split()
+    assert sorted(patterns.ALWAYS_ANONYMIZE) == sorted(names)
+    one = spark.createDataFrame([({n: f"clear {n}" for n in names} | {"SRCIP": "clear", "other": "shown", "empty": ""},), (None,)], "m map<string,string>")
+    got = one.select(anonymize.anonymize_fields(F.col("m")).alias("m")).collect()
+    assert got[1]["m"] is None and got[0]["m"]["other"] == "shown" and got[0]["m"]["empty"] == "" and got[0]["m"]["SRCIP"] == "<IP>"
+    assert not [v for k, v in got[0]["m"].items() if "clear" in v]
+    rules = anonymize.field_rules({"drain3": {"anonymization": {"always_anonymize": ["other"], "methods": {"hash": {"fields": ["other"], "salt": "s"}}}}})
+    assert one.select(anonymize.anonymize_fields(F.col("m"), **rules).alias("m")).first()["m"]["user_id"] == "clear user_id"
+    assert anonymize.field_rules({"drain3": {"anonymization": {"enabled": False}}}) == {"names": ()}
+
+
+def test_flags_and_miner_settings():
+    assert analysis.enabled_entities({}) is None
+    assert analysis.enabled_entities({"analyzer": {"entities": {"URL": False}}}) == set()
+    assert analysis.enabled_entities({"analyzer": {"entities": {"url": True, "EMAIL_ADDRESS": False}}}) == {"URL"}
+    config = {"drain3": {"depth": 5, "original": {"similarity_threshold": 0.9}, "anonymized": {"depth": 6, "max_children": 3}}}
+    assert analysis.miner_settings(config, "original") == {"similarity": 0.9, "depth": 5, "max_children": 1000}
+    assert analysis.miner_settings(config, "anonymized") == {"similarity": 0.4, "depth": 6, "max_children": 3}
+
+
+def test_encodings_and_json_depth(spark, tmp_path):
+    assert source.detect_encoding(b"plain") == "utf-8-sig" and source.detect_encoding("é".encode()[:1]) == "utf-8-sig"  # a cut character
+    assert source.detect_encoding(b"caf\xe9 x") == "latin-1" and source.decode("a é".encode("utf-16")) == "a é"
+    assert source.decode(b"a" * source.PROBE + b"\xff\xfeb") == "a" * source.PROBE + "b"  # bytes that do not belong go
+    (tmp_path / "x.csv").write_text("A b;a-B;c\n1;2;3\n")
+    df = source.read_csv(spark, f"file://{tmp_path}/x.csv")
+    assert df.columns == ["a_b", "a_b_2", "c"] and source.read_csv(spark, f"file://{tmp_path}/x.csv", config={"auto_detect_delimiter": False}).columns == ["a_b_a_b_c"]
+    assert source.read_csv(spark, f"file://{tmp_path}/x.csv", config={"supported_delimiters": ["-", "|"]}).columns == ["a_b_a", "b_c"]
+
+
+def test_white_space_is_one_thing(spark):
+    """What strips, what splits and what counts tokens agree, for control characters too."""
+    texts = ["a\x1fb c", "\x1ca b\x85c\x1d", "\u2003x\u3000", "", " ", "a\u200bb"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in rows.select("i", C.strip(F.col("t")).alias("s"), templates.n_tokens(F.col("t")).alias("n")).collect():
+        assert r["s"] == texts[r["i"]].strip() and r["n"] == len(texts[r["i"]].split())
+    messages = ["a\x1fb c", "a x c", "a b", "a\x1cy"]
+    one = templates.Miner()
+    want = [one.add(m)[:2] for m in messages]
+    got = templates.mine(spark.createDataFrame([("m", i, m) for i, m in enumerate(messages)], "miner string, seq long, message string"))
+    assert [(r["cluster_id"], r["template"]) for r in got.orderBy("seq").collect()] == want
+
+
+def test_ordinals_run_on_through_the_files(spark):
+    rows = [("b", 7), ("a", 2), ("a", 9), ("c", 1), ("b", 3)]
+    got = {(r["source_file"], r["line_number"]): r["ordinal"] for r in reports.ordinals(spark.createDataFrame(rows, "source_file string, line_number long")).collect()}
+    assert got == {at: k for k, at in enumerate(sorted(rows), 1)}
+
+
+def test_too_many_keys_are_refused(spark, monkeypatch):
+    from logloom.operators import stats
+
+    monkeypatch.setattr(stats, "MOST_KEYS", 3)
+    rows = spark.range(4).select(F.create_map(F.concat(F.lit("k"), F.col("id").cast("string")), F.lit("v")).alias("parsed_data"))
+    assert stats.keys(rows.limit(3)) and len(stats.keys(rows.limit(3))) == 3
+    with pytest.raises(ValueError, match="distinct keys"):
+        stats.keys(rows)
+
+
 def test_overlaps_are_settled():
     spans = [("A", 0, 5, 0.8, ""), ("B", 3, 9, 0.9, ""), ("C", 9, 12, 0.8, ""), ("D", 9, 14, 0.8, "")]
     assert [s[0] for s in anonymize.settle(spans)] == ["B", "D"]
@@ -201,9 +280,17 @@ def test_analysis_and_sinks(spark, tmp_path):
         analysis.run_analysis(spark, f"file://{tmp_path}/in.log", kind, f"file://{tmp_path}/{kind}")
     text = [r[0] for r in spark.read.text(f"file://{tmp_path}/anonymize").collect()]
     assert sorted(text) == ["mail <EMAIL_ADDRESS> now", "mail <EMAIL_ADDRESS> now", '{"user_id": "7", "m": "x"}']
-    csv = spark.read.csv(f"file://{tmp_path}/logppt", header=True)
-    assert csv.columns == ["LineId", "m", "raw_content", "user_id", "Content", "EventId", "EventTemplate"]
-    assert [r["EventTemplate"] for r in csv.orderBy("LineId").collect()][-1] == "mail <*> now"
+    both = {}
+    for name in ("original", "anonymized"):
+        csv = spark.read.csv(f"file://{tmp_path}/logppt/{name}", header=True)
+        assert csv.columns == ["LineId", "m", "raw_content", "user_id", "Content", "EventId", "EventTemplate"]
+        both[name] = csv.orderBy("LineId").collect()
+        assert [r["LineId"] for r in both[name]] == ["1", "2", "3"]
+    assert both["original"][2]["EventTemplate"] == "mail <*> now" and both["anonymized"][2]["EventTemplate"] == "mail <EMAIL_ADDRESS> now"
+    assert [r["user_id"] for r in both["original"]] == ["7", None, None] and len(both["anonymized"][0]["user_id"]) == 16
+    assert not any("@" in str(value) for r in both["anonymized"] for value in r)
+    with pytest.raises(ValueError):
+        reports.write_mined(csv, "x", "xml")
     assert spark.read.json(f"file://{tmp_path}/json_report").count() == 3
     with pytest.raises(ValueError):
         analysis.run_analysis(spark, "x", "other", "y")
@@ -242,3 +329,29 @@ def test_queries_and_sql_have_the_same_names():
     from logloom import queries
 
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_queries_equal_their_sql(spark):
+    """Every query with SQL, by another engine, on the smallest tables: names, rows and values."""
+    import math
+
+    import duckdb
+
+    from logloom import queries
+
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "events", "pages", "customer", "conversations"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    plain = lambda v: round(v, 6) if isinstance(v, float) and not math.isnan(v) else v
+    wrong = []
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        at = sorted(range(len(df.columns)), key=df.columns.__getitem__)
+        got = sorted((repr(tuple(plain(r[k]) for k in at)) for r in df.collect()))
+        own = db.execute(sql)
+        names = [d[0] for d in own.description]
+        order = sorted(range(len(names)), key=names.__getitem__)
+        want = sorted(repr(tuple(plain(r[k]) for k in order)) for r in own.fetchall())
+        if sorted(names) != sorted(df.columns) or got != want:
+            wrong.append((name, names, df.columns, len(got), len(want), [(g, w) for g, w in zip(got, want, strict=False) if g != w][:2]))
+    assert not wrong, wrong
