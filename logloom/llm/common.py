@@ -237,6 +237,53 @@ def dealt(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartitionById(n, F.pmod(F.col("shard"), F.lit(n)).cast("int"))
 
 
+#: Bits of a filter of ids at most, and for each id.
+FILTER_BITS, FILTER_ROOM = 27, 16
+_FILTER = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
+
+
+def may_be_in(ids: DataFrame) -> Callable[[Column], Column]:
+    """A condition on a column of ids that holds for each one among ``ids`` (column id, long) and for few others: a Bloom
+    filter of 2^:data:`FILTER_BITS` bits (16 MB) at most, so that it can be broadcast. Its words are made on the
+    executors. With more ids than it has room for it lets more through, and loses none; nulls are not among any ids."""
+    spark = ids.sparkSession
+    bits = min(FILTER_BITS, max(10, (FILTER_ROOM * ids.count()).bit_length()))
+
+    def places(x: np.ndarray) -> Iterator[np.ndarray]:
+        h = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        for m in _FILTER:
+            yield ((h ^ (h >> np.uint64(29))) * m) >> np.uint64(64 - bits)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in places(batch.column(0).drop_null().to_numpy().view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "mask"])
+
+    table = ids.select("id").mapInArrow(slots, "at int, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()  # the filter
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[table["at"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(words)
+
+    @F.arrow_udf("boolean")
+    def among(column: pa.Array) -> pa.Array:
+        x = column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        found = np.array(column.is_valid().to_numpy(zero_copy_only=False))
+        for at in places(x):
+            found &= (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pa.array(found)
+
+    return among
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` (whose columns are long texts) whose id is not among ``gone`` (column id, long). Only rows that
+    a filter of these ids lets through are joined, so that the others are not shuffled."""
+    among = may_be_in(gone)(column(key).cast("long"))
+    own = f"gone-{uuid.uuid4().hex}"  # no column of the caller's has this name
+    rest = df.where(among).join(gone.select(F.col("id").alias(own)), column(key) == column(own), "left_anti")
+    return df.where(~among).union(rest)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples, in the order of the columns."""
     for batch in batches:

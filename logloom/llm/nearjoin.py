@@ -147,7 +147,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall
     side = F.when(F.col("place") <= F.col("other"), 0).otherwise(1)
     pairs = across.join(common.stored(several, f"{folder}/several"), "band").select("class_id", side.alias("side"), F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"))
     asked = common.stored(inside.union(pairs).distinct().withColumnRenamed("class_id", "doc_id"), f"{folder}/asked")
-    members = docs.join(asked, "doc_id").select("i", "j", "doc_id", "side", "t")
+    among = common.may_be_in(asked.select(F.col("doc_id").alias("id")).distinct())
+    # texts of documents without candidates stay where they are; the others are joined in the same way at every size
+    members = docs.where(among("doc_id")).join(asked.hint("merge"), "doc_id").select("i", "j", "doc_id", "side", "t")
     members = members.repartition(common.partitions(spark), "i", "j").sortWithinPartitions("i", "j", "doc_id", "t")
     kinds = pa.schema([("class_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
