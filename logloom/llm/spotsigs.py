@@ -6,7 +6,8 @@ A text in which no content word follows a common word is fingerprinted by the ch
 
 :func:`compare_next` compares given pairs. :func:`join` finds all pairs of a likeness: sets are partitioned by their
 length, so that a set meets its own partition and the one before; in a partition only sets that share one of their
-rarest signatures meet; and a pair is dropped at the first bound (lengths, places, an earlier meeting) that it breaks.
+rarest signatures meet; and a pair is dropped at the first bound (lengths, places, bitmaps, an earlier meeting) that it
+breaks. Bitmaps go before: whole sets travel only to meetings in which these leave them a partner.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SIMILARITY = 0.8
 CELLS = 1 << 18
 #: Sets and signatures in a block of sets that share a signature, at about.
 BLOCK_SETS, BLOCK_SIGNATURES = 1024, 1 << 20
+#: Bytes of a set's bitmap.
+BITMAP = 64
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +170,35 @@ def edges(similarity: float, most: int = 1 << 32) -> np.ndarray:
     return np.array(found, np.int64)
 
 
+def bitmap(signatures: np.ndarray) -> bytes:
+    """A bit for each signature, at a place of its own hash. A bit that one set's has and another's lacks stands for a
+    signature, at least, that the other does not hold."""
+    bits = np.zeros(8 * BITMAP, bool)
+    bits[signatures.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - int(math.log2(8 * BITMAP)))] = True
+    return np.packbits(bits).tobytes()
+
+
+def survivors(own: list[bool], at: list[int], n: list[int], blocks: list[int], bitmaps: list[bytes], same_block: bool, similarity: float) -> np.ndarray:
+    """Whether each of these sets, which share the signature at the place ``at`` of each and come in order of length,
+    has a partner that lengths, places and bitmaps do not rule out."""
+    numerator, size, place = round(similarity * 1000), np.array(n), np.array(at)
+    bits, block, mine, left = np.frombuffer(b"".join(bitmaps), "<u8").reshape(len(n), -1), np.array(blocks), np.array(own), size - place
+    found = np.zeros(len(n), bool)
+    for i in range(len(n)):
+        last = int(np.searchsorted(size, size[i] * 1000 // numerator, "right"))  # longer sets cannot be near
+        j = np.arange(i + 1, last)
+        j = j[(block[j] == block[i]) if same_block else (block[j] != block[i])]
+        j = j[mine[j] | mine[i]]
+        total = size[j] + size[i]
+        least = -(-numerator * total // (1000 + numerator))  # signatures that near sets have in common
+        missing = np.bitwise_count(bits[i] & ~bits[j]).sum(1).astype(np.int64), np.bitwise_count(bits[j] & ~bits[i]).sum(1).astype(np.int64)
+        may = np.minimum(np.minimum(left[j], left[i]), np.minimum(size[i] - missing[0], size[j] - missing[1])) >= least
+        if may.any():
+            found[i] = True
+            found[j[may]] = True
+    return found
+
+
 def compare(ids: list[int], own: list[bool], at: list[int], blocks: list[int], sets: list[bytes], same_block: bool, similarity: float) -> Iterator[tuple[int, int, int]]:
     """(id, its links, smallest id that it is linked to through others) for the linked of these sets, which share the
     signature at the place ``at`` of each and come in order of length. Pairs are those within a block, or across two,
@@ -271,15 +303,16 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, chain: int = CHAIN, ke
                 part = int(np.searchsorted(starts, n, "right")) - 1
                 visits = part > 0 and n * numerator <= (int(starts[part]) - 1) * 1000
                 first = np.frombuffer(data, "<u4")[: n - -(-n * numerator // 1000) + 1]
+                bits = bitmap(np.frombuffer(data, "<u4"))
                 for at, sig in enumerate((counts[first >> shift] << 32 | first).tolist()):
-                    yield part, sig, class_id, n, at, True
+                    yield part, sig, class_id, n, at, True, bits
                     if visits:
-                        yield part - 1, sig, class_id, n, at, False
+                        yield part - 1, sig, class_id, n, at, False, bits
 
-        yield from common.batches_of(rows(), pa.schema([("part", pa.int32()), ("sig", pa.int64()), ("class_id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("own", pa.bool_())]))
+        yield from common.batches_of(rows(), pa.schema([("part", pa.int32()), ("sig", pa.int64()), ("class_id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("own", pa.bool_()), ("bits", pa.binary())]))
 
     # sig holds the cell's count above the signature, so it is the common order; the meetings are made twice, not stored
-    met = sets.mapInArrow(common.releasing(meet), "part int, sig long, class_id long, n int, at int, own boolean")
+    met = sets.mapInArrow(common.releasing(meet), "part int, sig long, class_id long, n int, at int, own boolean, bits binary")
     size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SIGNATURES)).cast("int")
     who = [F.bit_xor(F.xxhash64(F.lit(k), "class_id")).alias(f"who{k}") for k in (1, 2)]
     places = met.groupBy("part", "sig").agg(size.alias("blocks"), F.count(F.lit(1)).alias("m"), F.max("own").alias("any"), *who).where("m > 1 and any")
@@ -288,7 +321,20 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, chain: int = CHAIN, ke
     places = common.stored(places, f"{folder}/places")
     block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = met.join(places, ["part", "sig"]).withColumn("block", block).withColumn("p", F.explode(pairs)).select("part", "sig", "p.i", "p.j", "n", "class_id", "own", "at", "block")
+    met = met.join(places, ["part", "sig"]).withColumn("block", block).withColumn("p", F.explode(pairs)).select("part", "sig", "p.i", "p.j", "n", "class_id", "own", "at", "block", "bits")
+    met = met.repartition(common.partitions(spark), "part", "sig", "i", "j").sortWithinPartitions("part", "sig", "i", "j", "n", "class_id")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for (part, sig, i, j), group in common.runs_by_key(batches, 4):
+                _, _, _, _, n, _, own, at, blocks, bits = map(list, zip(*group, strict=True))
+                for k in np.flatnonzero(survivors(own, at, n, blocks, bits, i == j, similarity)).tolist():
+                    yield part, sig, i, j, *group[k][4:9]
+
+        yield from common.batches_of(rows(), pa.schema([("part", pa.int32()), ("sig", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int32()), ("class_id", pa.int64()), ("own", pa.bool_()), ("at", pa.int32()), ("block", pa.int32())]))
+
+    # bitmaps go to all meetings, whole sets only to those where they may be near another
+    dealt = common.stored(met.mapInArrow(common.releasing(sift), "part int, sig long, i int, j int, n int, class_id long, own boolean, at int, block int"), f"{folder}/dealt")
     dealt = dealt.join(sets.select("class_id", "sigs"), "class_id").select("part", "sig", "i", "j", "n", "class_id", "own", "at", "block", "sigs")
     dealt = dealt.repartition(common.partitions(spark), "part", "sig", "i", "j").sortWithinPartitions("part", "sig", "i", "j", "n", "class_id")
 
