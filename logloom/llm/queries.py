@@ -122,5 +122,24 @@ k AS (SELECT u.*, s.rate, len(list_filter(steps, lambda x: x <= u)) AS copies FR
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::INTEGER AS copy, round(rate, 9) AS rate FROM k"""
 
 
+_OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (h)"""
+
+
+#: Exact n-gram sets of all texts and every pair that shares an n-gram: right, but for small tables only.
+_OP8_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS (SELECT t, min(doc_id) AS class_id FROM d GROUP BY t),
+w AS (SELECT class_id, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM k WHERE class_id IS NOT NULL),
+g AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT class_id, count(*) AS n FROM g GROUP BY class_id),
+p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS shared FROM g AS a JOIN g AS b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.class_id = a JOIN n AS y ON y.class_id = b WHERE 1000 * shared >= 800 * (x.n + y.n - shared)),
+r AS (SELECT class_id AS node, class_id AS reach FROM k WHERE class_id IS NOT NULL UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach)
+SELECT doc_id, CASE WHEN doc_id IS NOT NULL THEN k.class_id END AS class_id, CASE WHEN doc_id IS NULL THEN 0 ELSE coalesce(c.n, 0) END::BIGINT AS n_links, CASE WHEN doc_id IS NOT NULL THEN m.low END AS group_id
+FROM d JOIN k USING (t) LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) AS c ON c.a = k.class_id LEFT JOIN (SELECT node, min(reach) AS low FROM r GROUP BY node) AS m ON m.node = k.class_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op2_mix_sources": _OP2_SQL}
+    return {"op1_quality_rules": _op1_sql(), "op2_mix_sources": _OP2_SQL, "op4_warc": _OP4_SQL, "op8_ngram_join": _OP8_SQL}
