@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, hashing, induction
 
@@ -334,8 +335,8 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool
     spark = df.sparkSession
     made = ("n_bytes", "n_removed", "n_spans", "kept", "spans")
     common.small_batches(df.sparkSession)
-    rest = [c for c in df.columns if c not in (text, *made)]
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"), *(F.col(f"`{c}`").alias(f"r{k}") for k, c in enumerate(rest)))
+    rest = common.others(df, text, *made)
+    docs = df.select(F.coalesce(common.column(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(common.column(text), F.lit("")).cast("binary").alias("bytes"), *(common.column(c).alias(f"r{k}") for k, c in enumerate(rest)))
     size = docs.agg(F.sum(F.octet_length("bytes").cast("long"))).first()[0] or 0
     again = common.stored(docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", F.lit(True).alias("again")), common.scratch(spark, "repeated-ids"))
     if again.isEmpty():
@@ -370,8 +371,10 @@ def remove(df: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), span))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[: len(rest)]), *columns], names=names)
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"r{k} {kinds[f'r{k}']}" for k in range(len(rest))), "n_bytes long, n_removed long, n_spans long", f"kept {'string' if as_text else 'binary'}", "spans array<struct<start: long, end: long>>"])
+    kinds = {f.name: f.dataType for f in docs.schema}
+    schema = T.StructType([T.StructField(f"r{k}", kinds[f"r{k}"]) for k in range(len(rest))])
+    for name, kind in zip(made, (*(T.LongType() for _ in range(3)), T.StringType() if as_text else T.BinaryType(), T.ArrayType(T.StructType().add("start", "long").add("end", "long"))), strict=True):
+        schema = schema.add(name, kind)
     joined = docs.join(known, by, "left").join(spans, by, "left").mapInArrow(common.releasing(finish), schema)
     return joined.select(*(F.col(f"r{k}").alias(c) for k, c in enumerate(rest)), *made)
 
@@ -409,5 +412,9 @@ def _lists(column: pa.ListArray, *names: str) -> list[tuple[np.ndarray, ...]]:
 
 
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` with the repeated bytes taken out of ``text``; halves of characters at the cuts go too."""
-    return remove(df, key, text, as_text=True).withColumn(text, F.col("kept")).select(*df.columns)
+    """The rows of ``df``, with all of its columns, and the repeated bytes taken out of ``text``; halves of characters at
+    the cuts go too. A null text becomes empty; see :func:`remove` for repeated rows, null ids and ties."""
+    rows = common.packed(df, text, k=common.column(key), t=common.column(text))
+    found = remove(rows, "k", "t", as_text=True)
+    columns = {c.lower(): F.col("row").getField(c).alias(c) for c in common.others(df, text)} | {text.lower(): F.col("kept").alias(text)}
+    return found.select(*(columns[c.lower()] for c in df.columns))

@@ -109,7 +109,11 @@ def test_suffix_dedup(docs, nothing, monkeypatch):
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixdedup.remove(docs.withColumn("anchor", F.lit(1)).withColumn("kept", F.lit("x"))).collect()}
         assert got == want
     assert suffixdedup.remove(nothing).count() == 0
-    assert suffixdedup.clean(docs).columns == docs.columns
+    odd = docs.withColumn("n_bytes", F.lit("own")).withColumn("row", F.lit(1)).withColumn("a.b`c", F.lit(2))
+    cleaned = suffixdedup.clean(odd)
+    assert cleaned.columns == odd.columns and cleaned.where("n_bytes <> 'own' or `row` <> 1 or `a.b``c` <> 2").isEmpty()
+    assert {i: t for i, t in values(cleaned)} == {i: w[3].decode("utf-8", "ignore") for i, w in want.items()}
+    assert suffixdedup.clean(nothing).count() == 0
 
 
 def test_suffix_dedup_of_repeated_and_null_ids(spark, monkeypatch):
@@ -260,6 +264,36 @@ def test_warc(spark):
     assert warc.write(df.limit(0), empty) == [] and warc.read(spark, empty).count() == 0
 
 
+def signatures_of(text):
+    """Signatures by their definition: a common word and the next content words; texts without any: at each word."""
+    import re
+
+    words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+    stop, out = set(quality.STOP_WORDS), set()
+    for k, w in enumerate(words):
+        if w in stop:
+            content = [x for x in words[k + 1 :] if x not in stop][: spotsigs.CHAIN]
+            if content:
+                out.add((w, *content))
+    return out or {("", *words[k : k + spotsigs.CHAIN]) for k in range(len(words))}
+
+
+def test_signatures_by_their_definition():
+    rows = [t for t in texts(40, 5) if t is None or len(t) < 10_000] + ["The House, the house of stone!", "no anchors here 12", "the", "the of and", "É the é"]
+    found = spotsigs.signatures([t or "" for t in rows])
+    sets = [frozenset(found[found >> np.uint64(32) == k].tolist()) for k in range(len(rows))]
+    names = {}
+    for t, s in zip(rows, sets, strict=True):
+        want = signatures_of(t)
+        assert len(want) == len(s), t
+        low = {x & 0xFFFFFFFF for x in s}
+        names.setdefault(frozenset(want), low)
+        assert names[frozenset(want)] == low
+    for a in names:
+        for b in names:
+            assert len(a & b) == len(names[a] & names[b])
+
+
 def test_spotsigs(spark, docs, nothing):
     rows = values(docs)
     got = {r["doc_id"]: r for r in spotsigs.compare_next(docs.withColumn("shard", F.lit(0))).collect()}
@@ -521,6 +555,20 @@ def test_near_join_of_many_links(spark, monkeypatch):
     assert got == want
 
 
+def test_filters_of_ids_lose_none(spark, monkeypatch):
+    rng = random.Random(9)
+    ids = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(3_000)] + [0, -1]
+    every = spark.createDataFrame([(i, "x") for i in ids + list(range(10_000, 30_000))] + [(None, "x")], "doc_id long, id string")
+    few = spark.createDataFrame([(i,) for i in ids[::2]], "id long")
+    for bits in (27, 8):  # eight: far too small, so that nearly all pass
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        passed = {r["doc_id"] for r in every.where(common.may_be_in(few)(F.col("doc_id"))).collect()}
+        assert passed >= set(ids[::2]) and None not in passed and (len(passed) < 1_700 if bits == 27 else len(passed) > 5_000)
+        left = common.without(every, "doc_id", few)
+        assert left.columns == ["doc_id", "id"] and sorted(str(r["doc_id"]) for r in left.collect()) == sorted(map(str, [*ids[1::2], *range(10_000, 30_000), None]))
+    assert common.without(every, "doc_id", few.limit(0)).count() == every.count()
+
+
 def test_id_ranges(spark):
     """Ranges of about equal weight wherever the ids lie, ascending, the same for any partitions."""
     rng = random.Random(3)
@@ -565,6 +613,52 @@ def test_token_ids(spark, docs, nothing):
     assert idstore.write(nothing, empty, WORD, end_id=1) == [] and idstore.read(spark, empty).count() == 0
 
 
+def test_the_dictionary_depends_on_the_rows_alone(spark):
+    """Long documents are in its sample too, equal rows count once, and files are equal byte for byte."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([5, 60, 30_000 if k % 50 == 0 else 60])))) for k in range(200)]
+    df = spark.createDataFrame([*rows, *rows[:20]], "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("h", F.lit(2))
+    folders = [common.scratch(spark, "test-ids") for _ in range(2)]
+    manifests = [idstore.write(df.repartition(n), f, WORD, end_id=1) for n, f in zip((1, 6), folders, strict=True)]
+    assert manifests[0] == manifests[1]
+    stores = [common.Store(f) for f in folders]
+    for one in manifests[0]:
+        assert stores[0].get(one["file"]) == stores[1].get(one["file"])
+    import json
+
+    sha = json.loads(stores[0].get("MANIFEST.json"))["dictionary"]
+    assert len(stores[0].get(f"dictionary-{sha}.zdict")) > 1_000
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in idstore.read(spark, folders[1]).collect())
+    assert len(got) == 220 and got[:2] == [(0, got[0][1])] * 2
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with open(BYTE, encoding="utf-8") as source:
+        file = json.load(source)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**file["pre_tokenizer"], "add_prefix_space": True}}, {"decoder": None}, {"model": {**file["model"], "ignore_merges": True}}):
+        (tmp_path / "t.json").write_text(json.dumps(file | change))
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(tmp_path / "t.json"))
+    v = bpe.Vocabulary(BYTE)
+    v.encode(["short " + "x" * 5_000])
+    assert all(len(word) <= bpe.MOST_CHARS for word in v.known)  # what is remembered is bounded in bytes
+
+
+def test_token_ids_of_null_ids_long_words_and_repeated_rows(spark):
+    tokenizer, folder = Tokenizer.from_file(WORD), common.scratch(spark, "test-ids")
+    rows = [(None, "b"), (2, "a " + "w" * 30_000), (2, "a " + "w" * 30_000), (None, None), (1, " " * 100_000 + "é."), (2, "a"), (3, "")]
+    idstore.write(spark.createDataFrame(rows, "doc_id long, text string").withColumn("t", F.lit("x")).repartition(4), folder, WORD, end_id=1)
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        want.append((i, start, len(ids) // 4, zlib.crc32(ids)))
+        start += len(ids) // 4
+    assert sorted(map(tuple, idstore.read(spark, folder, with_ids=False).collect()), key=lambda r: r[1]) == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_encoders_equal_the_library(text):
@@ -608,6 +702,36 @@ def test_bpe_columns(docs, nothing):
     assert nothing.select(bpe.encode_column(BYTE, sums_only=True)("text").alias("e")).count() == 0
 
 
+def test_pipeline_stages_of_odd_rows(spark, nothing):
+    """Nulls in every column, empty and long texts, ties, repeated rows, null ids and columns with the stages' own names."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    said = lambda lang, n: " ".join(rng.choice({"en": "the house stands by the river and a stone falls".split(), "de": "das haus steht an dem fluss und ein stein".split()}[lang]) + rng.choice(["", ","]) for _ in range(n))
+    rows = [(k, said("en" if k % 2 else "de", rng.randrange(20, 60)), "en" if k % 2 else "de", ("a", "b", None)[k % 3], 1) for k in range(60)]
+    long = said("en", 30_000)
+    rows += [(100, rows[5][1], "en", "a", 1), (101, rows[5][1] + " end", "en", "a", 1), (102, None, None, None, None), (103, "", "en", "a", 0), (104, long, None, None, None), rows[7], rows[7], (None, rows[9][1], "de", "b", 1), (None, "the river", None, "b", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("score", "group_id", "label", "copy", "rate", "kept", "row", "found"):
+        docs = docs.withColumn(name, F.lit("own"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = seen[name] = common.stored(stage(spark, docs, ""), common.scratch(spark, "test-odd"))
+        if name != "token_ids":
+            assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+    ids = lambda df: sorted((str(r[0]) for r in df.select("doc_id").collect()))
+    assert set(ids(seen["language_id"])) == {str(r[0]) for r in rows} - {"102", "103"} and seen["language_id"].where("lang is null").isEmpty()
+    near = ids(seen["near_duplicates"])
+    assert "100" not in near and "101" not in near and near.count("7") == 3 and near.count("None") == 2
+    assert ids(seen["repeated_passages"]) == near and seen["repeated_passages"].where("text is null or n_chars <> length(text)").isEmpty()
+    assert seen["repeated_passages"].where("doc_id = 7").select("text").distinct().count() == 1
+    kept = {(r["doc_id"], r["text"]) for r in seen["repeated_passages"].collect()}
+    assert {(r["doc_id"], r["text"]) for r in seen["mix_sources"].collect()} <= kept
+    assert seen["token_ids"].count() == seen["mix_sources"].count() and seen["token_ids"].where("n_tokens * 4 <> length(ids)").isEmpty()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, "").count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
