@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +26,36 @@ def load_config(path: str) -> dict:
         return {}
 
 
+def _replace_file(path: str, text: str) -> bool:
+    """Write a file as a whole or not at all; False if it cannot be written."""
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    try:
+        with open(temporary, "w", encoding="utf-8") as file:
+            file.write(text)
+        os.replace(temporary, path)
+    except OSError:
+        return False
+    return True
+
+
+def save_config(path: str, config: dict) -> bool:
+    """Save a configuration as YAML, its keys in the order they have."""
+    return _replace_file(path, yaml.safe_dump(config, sort_keys=False, default_flow_style=False, allow_unicode=True))
+
+
+def load_settings(path: str) -> dict:
+    """Settings kept as JSON; empty if there are none or if they cannot be read."""
+    try:
+        with open(path, encoding="utf-8") as file:
+            return json.load(file)
+    except (FileNotFoundError, ValueError):
+        return {}
+
+
+def save_settings(path: str, settings: dict) -> bool:
+    return _replace_file(path, json.dumps(settings, indent=2))
+
+
 def get_value(config: dict, path: str, default=None):
     for key in path.split("."):
         if not isinstance(config, dict) or key not in config:

@@ -41,6 +41,9 @@ _TEXT = f"""'user u' || {_U} || '@example.org from 10.1.2.' || CAST(event_id % 2
 || ' mac 00:1a:2b:3c:4d:5e call 555-123-4567 ticket T-' || {_I} || ' at 2024-01-01T10:00:00Z see https://x.example.org/' || {_U}"""
 _PORTS = f"'host a' || {_U} || '.example.org:443 and 10.0.0.9:22 port :8080 id=12345'"
 _ACCEPTED = f"event_type || ' of u' || {_U} || '@example.org accepted'"
+_INSIDE = f"'see https://u' || {_U} || '@example.org/x?ip=10.0.0.1 end'"
+_JSON = f"""CASE event_id % 6 WHEN 0 THEN '{{"a": {{"b": [1, 2]}}, "s": "x' || {_U} || '", "n": null, "t": true, "f": 1.5}}' WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{{''k'': ' || {_I} || '}}'
+WHEN 3 THEN '{{"a": 1}} x' WHEN 4 THEN '{{"a": NaN}}' ELSE '{{"a": 1, "a": ' || {_U} || '}}' END"""
 _TICKET = {"analyzer": {"ad_hoc_recognizers": [{"name": "TICKET", "regex": r"\bT-\d+", "score": 0.9, "strategy": "hash"}]}}
 
 
@@ -156,6 +159,25 @@ def configured_parsers(spark, sf):
     return rows.select("event_id", "parser_name", F.try_element_at("parsed_data", F.lit("said")).alias("said"), F.size("parsed_data").cast("long").alias("n_fields"))
 
 
+def json_fields(spark, sf):
+    """Nested values, repeated keys and not-a-number; arrays, other quotes and text after the value are not JSON records."""
+    rows = parsers.parse(_events(spark, sf, _JSON))
+    return rows.select("event_id", "parser_name", _shown(F.col("parsed_data")).alias("fields"), F.col("payload").isNotNull().alias("has_payload"))
+
+
+def own_parsers(spark, sf):
+    """A parser and a line format of the caller's."""
+    first = parsers.Named("AddressParser", lambda c: F.when(c.startswith("10."), F.create_map(F.lit("first"), F.substring_index(c, " ", 1))))
+    chain = [first, *parsers.chain({"centralized_regex": {"parsing": {"own_format": r"^(?P<the_kind>\S+) happened to user (?P<who>\d+)$"}}})]
+    return parsers.parse(_events(spark, sf, _LINE), chain).where("parser_name in ('AddressParser', 'own_format', 'FallbackParser')").select("event_id", "parser_name", _shown(F.col("parsed_data")).alias("fields"))
+
+
+def overlapping_entities(spark, sf):
+    """An address and an e-mail address within a URL: the higher scores stay, the URL goes."""
+    rows = anonymize.anonymize(_events(spark, sf, _INSIDE))
+    return rows.select("event_id", "anonymized", F.array_join(F.transform("pii", lambda p: p["entity_type"]), " ").alias("entities"))
+
+
 def anonymized_events(spark, sf):
     """All recognizers and one of the caller's: replaced, masked and hashed values, and the entities in order."""
     ops = anonymize.Operators(anonymize.STRATEGIES | {"TICKET": "hash"})
@@ -407,8 +429,11 @@ def config_values(spark, sf):
         for name, text in (("good.yaml", "drain3:\n  depth: 5\n  original: {depth: 6}\n"), ("bad.yaml", "a: [")):
             with open(os.path.join(folder, name), "w", encoding="utf-8") as file:
                 file.write(text)
+        saved, settings = os.path.join(folder, "saved.yaml"), os.path.join(folder, "settings.json")
+        done = analysis.save_config(saved, {"b": {"c": 8}, "a": 1}) and analysis.save_settings(settings, {"n": 9}) and not analysis.save_config(os.path.join(folder, "no", "x"), {})
+        kept = [("saved", analysis.get_value(analysis.load_config(saved), "b.c")), ("settings", analysis.load_settings(settings)["n"]), ("no_settings", len(analysis.load_settings(os.path.join(folder, "none")))), ("done", int(done))]
         good, bad, missing = (analysis.load_config(os.path.join(folder, n)) for n in ("good.yaml", "bad.yaml", "none.yaml"))
-    rows = [("depth", analysis.get_value(good, "drain3.depth")), ("own", analysis.miner_settings(good, "original")["depth"]), ("common", analysis.miner_settings(good, "anonymized")["depth"]), ("default", analysis.get_value(good, "drain3.x.y", 7)), ("bad", len(bad)), ("missing", len(missing))]
+    rows = [("depth", analysis.get_value(good, "drain3.depth")), ("own", analysis.miner_settings(good, "original")["depth"]), ("common", analysis.miner_settings(good, "anonymized")["depth"]), ("default", analysis.get_value(good, "drain3.x.y", 7)), ("bad", len(bad)), ("missing", len(missing)), *kept]
     return spark.createDataFrame(rows, "name string, value long")
 
 
@@ -419,8 +444,10 @@ def security_flags(spark, sf):
 
 
 def csv_family(spark, sf):
-    rows = _t(spark, sf, "customer").select("c_custkey", F.array(F.lit("LineId"), F.lit("EventId"), F.when(F.col("c_custkey") % 2 == 0, "Content").otherwise("Other")).alias("h"))
-    return rows.select("c_custkey", C.csv_family(F.col("h")).alias("family"))
+    """Headers of each family, and one that has too few names of any."""
+    headers = (["LineId", "EventId", "Content"], ["Event ID", "Source IP", "Destination IP", "User Agent", "Attack Type"], ["session_id", "login_attempts", "failed_logins", "browser_type", "attack_detected", "other"], ["LineId", "EventId", "Event ID", "Source IP", "User Agent", "session_id"])
+    header = F.element_at(F.array(*(F.array(*map(F.lit, h)) for h in headers)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return _t(spark, sf, "customer").select("c_custkey", C.csv_family(header).alias("family"))
 
 
 _NAMES = (
@@ -489,7 +516,7 @@ def error_frequencies(spark, sf):
 
 _ALL = (
     pii_counts_by_lang, redact_email, redact_ip, mask_credit_card, hash_key, content_hash, record_id, json_payload, json_parser, kv_pairs, csv_fields, lines, not_blank_lines, line_lookup, file_lines, large_file_lines,
-    file_list, csv_header_file, json_lines_file, config_values, parser_distribution, parse_records, record_fields, configured_parsers, key_union, anonymize_documents, entity_counts, anonymized_events, configured_strategies,
+    file_list, csv_header_file, json_lines_file, config_values, parser_distribution, parse_records, record_fields, json_fields, configured_parsers, own_parsers, key_union, overlapping_entities, anonymize_documents, entity_counts, anonymized_events, configured_strategies,
     entity_flags, hybrid_events, classic_anonymization, classic_placeholders, detections, previews, field_anonymization, recognizer_catalogue, template_mine, template_coverage, template_summary, event_templates, template_by_file,
     template_sizes, template_shares, template_classes, stream_templates, analysis_records, analysis_events, template_csv, text_report, json_report, output_names, mining_output, record_summary, anonymization_rate, field_counts,
     security_flags, csv_family, field_kinds, value_kinds, clean_times, normalize_times, search_index, percentile_stats, top_k, grouping_sets, running_count, error_frequencies,
@@ -573,7 +600,7 @@ SELECT event_id, md5(content) AS digest, regexp_matches(content, '{patterns.DETE
 regexp_matches(low, 'error|fail|critical|fatal') AS has_errors, regexp_matches(low, 'warn') AS has_warnings,
 CASE WHEN regexp_matches(low, 'error|fail|critical|fatal') THEN 'high' WHEN regexp_matches(low, 'warn') THEN 'medium' ELSE 'low' END AS severity_level,
 concat_ws(' ', CASE WHEN regexp_matches(low, 'attack|exploit|malware|intrusion') THEN 'attack' END, CASE WHEN regexp_matches(low, 'denied|unauthorized|forbidden') THEN 'denied' END, CASE WHEN regexp_matches(low, 'failed (login|password)|invalid user') THEN 'login' END) AS threat_indicators FROM w""",
-        "csv_family": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'loghub' END AS family FROM customer",
+        "csv_family": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'loghub' WHEN 1 THEN 'cybersecurity' WHEN 2 THEN 'intrusion_data' END AS family FROM customer",
         "field_kinds": f"""SELECT name, CASE WHEN name IN ('timestamp', 'event_date') THEN 'timestamp' WHEN name IN ('srcip', 'client_ip') THEN 'ip_address' WHEN name IN ('user_id', 'last_user') THEN 'user_id' WHEN name = 'pid' THEN 'process_id'
 WHEN name IN ('srcport', 'port_number') THEN 'port' WHEN name IN ('msg', 'log') THEN 'message' WHEN name = 'severity' THEN 'level' WHEN name IN ('service', 'module_name') THEN 'component' WHEN name IN ('hostname', 'server') THEN 'hostname'
 WHEN name = 'uri' THEN 'url' WHEN name = 'filepath' THEN 'path' WHEN name IN ('e-mail', 'mail') THEN 'email' WHEN name IN ('sha256', 'file_md5') THEN 'hash' ELSE 'unknown' END AS kind, count(*) AS n
@@ -593,6 +620,11 @@ WHEN 2 THEN 'act=' || {_I} || ';device_product=gate;device_vendor=acme;device_ve
 WHEN 3 THEN 'devid=FG1;e=;type=last;user=user ' || {_U} WHEN 4 THEN 'bytes=' || {_I} || ';ip=10.0.0.7;request=GET /u/' || {_U} || ' HTTP/1.0;status=200;timestamp=10/Oct/2000:13:55:36 +0000'
 WHEN 5 THEN 'hostname=host' || {_U} || ';message=' || event_type || ' happened;pid=' || {_I} || ';process=sshd;timestamp=Jan  5 10:00:00'
 WHEN 6 THEN 'device_id=FG' || {_U} || ';level=notice;message=' || event_type || ' passed;subtype=forward;timestamp=2024-01-01 10:00:00;type=traffic' ELSE 'raw_content=' || event_type || ' happened to user ' || {_U} END AS fields FROM events""",
+        "json_fields": f"""SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'CSVParser' WHEN 2 THEN 'FallbackParser' WHEN 3 THEN 'FallbackParser' ELSE 'JSONParser' END AS parser_name,
+CASE event_id % 6 WHEN 0 THEN 'a={{"b": [1, 2]}};f=1.5;s=x' || {_U} || ';t=true' WHEN 1 THEN 'field_1=[1;field_2= 2]' WHEN 2 THEN 'raw_content=' || {_JSON} WHEN 3 THEN 'raw_content={{"a": 1}} x' WHEN 4 THEN 'a=NaN' ELSE 'a=' || {_U} END AS fields, event_id % 6 = 0 AS has_payload FROM events""",
+        "own_parsers": f"""SELECT event_id, CASE event_id % 8 WHEN 4 THEN 'AddressParser' WHEN 7 THEN 'own_format' ELSE 'FallbackParser' END AS parser_name,
+CASE event_id % 8 WHEN 4 THEN 'first=10.0.0.7' WHEN 7 THEN 'the_kind=' || event_type || ';who=' || {_U} ELSE 'raw_content=' || {_LINE} END AS fields FROM events WHERE event_id % 8 IN (4, 5, 6, 7)""",
+        "overlapping_entities": "SELECT event_id, 'see https://<EMAIL_ADDRESS>/x?ip=<IP_ADDRESS> end' AS anonymized, 'EMAIL_ADDRESS IP_ADDRESS' AS entities FROM events",
         "configured_parsers": f"""SELECT event_id, CASE event_id % 8 WHEN 1 THEN 'CSVParser' WHEN 2 THEN 'KeyValueParser' WHEN 3 THEN 'KeyValueParser' WHEN 4 THEN 'apache_clf' WHEN 5 THEN 'syslog' WHEN 6 THEN 'fortinet' ELSE 'FallbackParser' END AS parser_name,
 CASE WHEN event_id % 8 = 1 THEN 'say "' || {_U} || '", all' END AS said, CASE event_id % 8 WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 5 WHEN 6 THEN 6 ELSE 1 END::BIGINT AS n_fields FROM events""",
         "anonymized_events": f"""SELECT event_id, {_MASKED_SQL} || left(sha256('{patterns.FIELD_SALT}T-' || {_I}), 16) || ' at <DATE_TIME> see <URL>' AS anonymized,
@@ -637,7 +669,7 @@ SELECT field, count(*) AS n, count(*) FILTER (field IN ('ip', 'hostname', 'devic
         "csv_header_file": "SELECT c_custkey AS cust_key, c_name AS full_name, 'say \"\"; ' || c_name AS full_name_2 FROM customer",
         "json_lines_file": """WITH t AS (SELECT depth, CASE event_id % 3 WHEN 0 THEN replace(props, ' ', '') WHEN 1 THEN CASE WHEN depth = 3 THEN '[[{"k":"[[[["}]]' ELSE 'none' END ELSE 'none' END AS payload FROM events, (VALUES (2), (3)) AS d(depth))
 SELECT depth::INT AS depth, payload, count(*) AS n FROM t GROUP BY depth, payload""",
-        "config_values": "SELECT * FROM (VALUES ('depth', 5::BIGINT), ('own', 6), ('common', 5), ('default', 7), ('bad', 0), ('missing', 0)) AS t(name, value)",
+        "config_values": "SELECT * FROM (VALUES ('depth', 5::BIGINT), ('own', 6), ('common', 5), ('default', 7), ('bad', 0), ('missing', 0), ('saved', 8), ('settings', 9), ('no_settings', 0), ('done', 1)) AS t(name, value)",
         "value_kinds": f"SELECT event_id, {_VALUE} AS value, CASE event_id % 8 WHEN 0 THEN 'timestamp' WHEN 1 THEN 'ip_address' WHEN 2 THEN 'user_id' WHEN 3 THEN 'process_id' WHEN 4 THEN 'hash' WHEN 5 THEN 'email' WHEN 6 THEN 'timestamp' ELSE 'unknown' END AS kind FROM events",
         "clean_times": "SELECT event_id, 'at 2024-' || strftime(ts, '%m-%d %H:%M:%S') || '.25 on' AS short, strftime(ts, '%Y-%m-%d %H:%M:%S') || 'Z' AS iso FROM events",
     }

@@ -325,6 +325,20 @@ def test_stream(spark, tmp_path):
     assert [r["cluster"] for r in found] == [1] * 6 and found[-1]["template"] == "user <*> in"
 
 
+def test_missing_files(spark, tmp_path):
+    for read in (source.read_lines, source.read_large, source.list_files):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            read(spark, f"file://{tmp_path}/none").collect()
+
+
+def test_settings(tmp_path):
+    (tmp_path / "broken").write_text("{")
+    assert analysis.load_settings(str(tmp_path / "broken")) == {}
+    assert analysis.save_config(str(tmp_path / "c.yaml"), {"z": 1, "a": {"é": [1]}}) and (tmp_path / "c.yaml").read_text().startswith("z: 1")
+    assert analysis.load_config(str(tmp_path / "c.yaml")) == {"z": 1, "a": {"é": [1]}}
+    assert not analysis.save_settings(str(tmp_path / "no" / "x"), {}) and [p.name for p in tmp_path.iterdir() if p.name.endswith("tmp")] == []
+
+
 def test_queries_and_sql_have_the_same_names():
     from logloom import queries
 
