@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 from operator import eq
 
 import pandas as pd
@@ -31,6 +32,33 @@ class Cluster:
     wild: int = 0
 
 
+class Leaf:
+    """The clusters of a leaf, by the tokens at their places too. A place that has become a wildcard stays listed under
+    its old token, which only makes a candidate more."""
+
+    def __init__(self) -> None:
+        self.clusters: list[Cluster] = []
+        self.index: dict[tuple[int, str], list[int]] = {}
+
+    def add(self, cluster: Cluster) -> None:
+        for at in enumerate(cluster.tokens):
+            self.index.setdefault(at, []).append(len(self.clusters))
+        self.clusters.append(cluster)
+
+    def candidates(self, tokens: list[str], need: int) -> list[Cluster]:
+        """Clusters, in order, that hold all those with ``need`` tokens in common: such a cluster is in one of the lists
+        of any places but ``need`` - 1, so the shortest lists do."""
+        if need <= 0 or len(self.clusters) < FEW:
+            return self.clusters
+        lists = sorted((self.index.get(at, ()) for at in enumerate(tokens) if at[1] != WILD), key=len)
+        found = set().union(*lists[: max(0, len(lists) - need + 1)])
+        return [self.clusters[i] for i in sorted(found)]
+
+
+#: Clusters of a leaf up to which all are looked at.
+FEW = 16
+
+
 class Miner:
     """One sequential miner. ``depth`` counts the root, the level of lengths and the leaf's level."""
 
@@ -47,19 +75,19 @@ class Miner:
         if found is None:
             self.count += 1
             found = Cluster(self.count, tokens, 1, tokens.count(WILD))
-            self._leaf(tokens, insert=True).append(found)
+            self._leaf(tokens, insert=True).add(found)
             return found.number, " ".join(tokens), "cluster_created"
         merged = [a if a == b else WILD for a, b in zip(found.tokens, tokens, strict=True)]
         change = "none" if merged == found.tokens else "cluster_template_changed"
         found.tokens, found.size, found.wild = merged, found.size + 1, merged.count(WILD)
         return found.number, " ".join(merged), change
 
-    def _leaf(self, tokens: list[str], insert: bool) -> list[Cluster] | None:
+    def _leaf(self, tokens: list[str], insert: bool) -> Leaf | None:
         node = self.tree.get(len(tokens))
         if node is None:
             if not insert:
                 return None
-            node = self.tree[len(tokens)] = {"next": {}, "leaf": []}
+            node = self.tree[len(tokens)] = {"next": {}, "leaf": Leaf()}
         for token in tokens[: self.levels]:
             children = node["next"]
             if token in children:
@@ -71,13 +99,13 @@ class Miner:
                 node = children[WILD]
                 continue
             plain = not any(c.isdigit() for c in token) and len(children) - (WILD in children) < self.max_children
-            node = children.setdefault(token if plain else WILD, {"next": {}, "leaf": []})
+            node = children.setdefault(token if plain else WILD, {"next": {}, "leaf": Leaf()})
         return node["leaf"]
 
-    def _best(self, leaf: list[Cluster], tokens: list[str]) -> Cluster | None:
+    def _best(self, leaf: Leaf, tokens: list[str]) -> Cluster | None:
         """The cluster with most equal tokens, then with most wildcards, then the earliest, if it is similar enough."""
         best, best_rank, has_wild = None, (-1, -1), WILD in tokens
-        for cluster in leaf:
+        for cluster in leaf.candidates(tokens, ceil(self.similarity * len(tokens) - 1e-9)):
             same = sum(map(eq, cluster.tokens, tokens))
             if has_wild:
                 same -= sum(a == WILD == b for a, b in zip(cluster.tokens, tokens, strict=True))

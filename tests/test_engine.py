@@ -215,6 +215,24 @@ def test_parallel_mining_equals_sequential(spark):
     assert max(r["cluster_size"] for r in templates.running_size(mined).collect()) == max(r["size"] for r in templates.final_templates(mined).collect())
 
 
+@pytest.mark.parametrize("similarity", [0.0, 0.4, 0.75, 1.0])
+def test_candidates_are_all_that_matter(similarity, monkeypatch):
+    """Looking at the candidates gives what looking at every cluster by the definition gives."""
+    rng = random.Random(17)
+    words = [f"w{chr(97 + k)}" for k in range(12)] + ["7", "<*>"]
+    messages = [" ".join(["head", *(rng.choice(words) for _ in range(rng.randrange(0, 9)))]) for _ in range(1_500)] + ["", "", "<*>"]
+    one, every = templates.Miner(similarity), templates.Miner(similarity)
+
+    def best(leaf, tokens):
+        ranked = [(sum(a == b != templates.WILD for a, b in zip(c.tokens, tokens, strict=True)), c.tokens.count(templates.WILD), -c.number, c) for c in leaf.clusters]
+        same, *_, cluster = max(ranked, key=lambda r: r[:3])
+        return cluster if not tokens or same / len(tokens) >= similarity else None
+
+    every._best = best
+    got = [one.add(m) for m in messages]
+    assert got == [every.add(m) for m in messages] and (one.count > 40 or similarity == 0.0)
+
+
 def test_numbers_of_clusters(spark):
     rng = random.Random(4)
     seqs = sorted({rng.randrange(0, 1 << 22) for _ in range(60)} | {rng.randrange(0, 1 << 62) for _ in range(60)} | {(1 << 41) + k for k in range(40)} | {0, (1 << 20) - 1, 1 << 20})
