@@ -162,18 +162,14 @@ def others(df: DataFrame, *made: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def packed(df: DataFrame, *made: str, **used: Column) -> DataFrame:
-    """``df`` as one column ``row`` (a struct of its columns but ``made``) beside the named columns, so that no name
-    of the caller's can meet a helper's. :func:`unpacked` gives the columns back."""
+def apart(df: DataFrame, *made: str, **used: Column) -> tuple[DataFrame, list[str], list[Column]]:
+    """``df`` with its columns but ``made`` as c0, c1, ... beside the named columns, so that no name of the caller's can
+    meet a helper's; the names c0, c1, ...; and the columns that give the caller's names back. Columns stay columns, so
+    that those which nothing needs are not read."""
     keep = others(df, *made)
-    row = F.struct(*(column(c) for c in keep)) if keep else F.lit(None).cast("int")
-    return df.select(row.alias("row"), *(c.alias(k) for k, c in used.items()))
-
-
-def unpacked(df: DataFrame) -> list[Column]:
-    """The caller's columns out of ``row``."""
-    kind = df.schema["row"].dataType
-    return [F.col("row").getField(f.name).alias(f.name) for f in kind.fields] if hasattr(kind, "fields") else []
+    own = [f"c{k}" for k in range(len(keep))]
+    rows = df.select(*(column(c).alias(k) for c, k in zip(keep, own, strict=True)), *(c.alias(k) for k, c in used.items()))
+    return rows, own, [F.col(k).alias(c) for c, k in zip(keep, own, strict=True)]
 
 
 _SIGN = 1 << 63

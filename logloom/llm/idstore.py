@@ -158,7 +158,14 @@ def train(docs: DataFrame, text: str, key: str, path: str, end_id: int) -> bytes
     common.small_batches(docs.sparkSession)
     # ids alone are read to find the bound: texts of one id are told apart only among the chosen
     number = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    least = [r[0] for r in docs.select(number.alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCUMENTS).collect()]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
+        for batch in batches:
+            held = np.unique(np.concatenate((held, batch.column(0).to_numpy())))[:SAMPLE_DOCUMENTS]
+        yield pa.RecordBatch.from_arrays([pa.array(held)], names=["h"])
+
+    least = [r[0] for r in docs.select(number.alias("h")).mapInArrow(first, "h long").distinct().orderBy("h").limit(SAMPLE_DOCUMENTS).collect()]
     if not least:
         return b""
 

@@ -187,10 +187,10 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
         common.release()
 
-    rows = common.packed(df, "lang_pred", "score", t=common.column(text))
+    rows, own, back = common.apart(df, "lang_pred", "score", t=common.column(text))
     # nondeterministic for the optimizer only: a filter on the result would else be pushed below and run it twice
-    out = rows.select("row", udf.asNondeterministic()("t").alias("found"))
-    return out.select(*common.unpacked(out), F.col("found.lang_pred"), F.col("found.score"))
+    out = rows.select(*own, udf.asNondeterministic()("t").alias("found"))
+    return out.select(*back, F.col("found.lang_pred"), F.col("found.score"))
 
 
 def fold(key: str = "doc_id") -> Column:

@@ -73,7 +73,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, temperature: flo
     spark = df.sparkSession
     table = common.stored(rates(df, weights, temperature, total), common.scratch(spark, "mixing"))
     steps_in_all = table.agg(F.sum(F.size("m_steps") + 8)).first()[0] or 0
-    rows = common.packed(df, "copy", "rate", m_own=common.column("source"), m_id=common.column(id_col))
+    rows, own, back = common.apart(df, "copy", "rate", m_own=common.column("source"), m_id=common.column(id_col))
     same = F.col("m_own").eqNullSafe(F.col("m_source"))
     if steps_in_all <= BROADCAST_STEPS:
         joined = rows.join(F.broadcast(table), same)
@@ -84,8 +84,8 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, temperature: flo
     joined = joined.withColumn("m_u", uniform(seed, F.col("m_id"))).withColumn("m_first", invert(F.col("m_u"))).drop("m_u")
     further = F.aggregate(F.sequence(F.lit(2), F.col("m_pieces")), F.col("m_first"), lambda n, k: n + invert(uniform(seed, F.col("m_id"), k)))
     joined = joined.withColumn("m_count", F.when(F.col("m_pieces") > 1, further).otherwise(F.col("m_first")))
-    copies = joined.where("m_count > 0").select("row", "m_id", "m_rate", F.explode(F.sequence(F.lit(1), F.col("m_count"))).alias("m_copy"))
+    copies = joined.where("m_count > 0").select(*own, "m_id", "m_rate", F.explode(F.sequence(F.lit(1), F.col("m_count"))).alias("m_copy"))
     copies = copies.withColumn("m_key", F.xxhash64(F.lit(seed), F.col("m_id"), F.col("m_copy")))
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # whole texts move, so tasks are kept small
     mixed = copies.repartition(partitions, "m_key").sortWithinPartitions("m_key")
-    return mixed.select(*common.unpacked(mixed), F.col("m_copy").cast("int").alias("copy"), F.round("m_rate", 9).alias("rate"))
+    return mixed.select(*back, F.col("m_copy").cast("int").alias("copy"), F.round("m_rate", 9).alias("rate"))

@@ -57,12 +57,12 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     Each array is a column of its own projection because a lambda evaluates what it refers to once for each
     element; as a column it is made once for a row. Nothing is exploded, so there is no shuffle.
     """
-    df = common.packed(df, *MEASURES, t=F.coalesce(common.column(text), F.lit("")))
+    df, own, back = common.apart(df, *MEASURES, t=F.coalesce(common.column(text), F.lit("")))
     df = df.withColumn("words", F.filter(F.split("t", SPACE + "+"), lambda w: w != ""))
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("hash", F.transform("words", lambda w: F.xxhash64(w)))
     df = df.select(
-        "row",
+        *own,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -72,7 +72,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         "hash",
     )
     df = _with_repeats(df)
-    return df.select(*common.unpacked(df), *MEASURES)
+    return df.select(*back, *MEASURES)
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:

@@ -226,8 +226,7 @@ def copies(docs: DataFrame, folder: str, key: str = "doc_id", digest: str = "dig
     the join is between plain tables and a hot text can be split. Rows of one id and one text are alike: none is a
     copy of the other. Rows without a digest are no copies; rows without an id are copies of any row that has one, and
     stay where no row of their text has one."""
-    rows = common.packed(docs, own=common.column(digest), id=common.column(key))
-    firsts = rows.where("own is not null").groupBy("own").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    firsts = common.stored(firsts.select(F.col("own").alias("of"), "first"), f"{folder}/firsts")
-    found = rows.join(firsts, F.col("own") == F.col("of")).where(~F.col("id").eqNullSafe(F.col("first")))
-    return found.select(*common.unpacked(found))
+    rows, _, back = common.apart(docs, held=common.column(digest), id=common.column(key))
+    firsts = rows.where("held is not null").groupBy("held").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    firsts = common.stored(firsts.select(F.col("held").alias("of"), "first"), f"{folder}/firsts")
+    return rows.join(firsts, F.col("held") == F.col("of")).where(~F.col("id").eqNullSafe(F.col("first"))).select(*back)

@@ -414,7 +414,7 @@ def _lists(column: pa.ListArray, *names: str) -> list[tuple[np.ndarray, ...]]:
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df``, with all of its columns, and the repeated bytes taken out of ``text``; halves of characters at
     the cuts go too. A null text becomes empty; see :func:`remove` for repeated rows, null ids and ties."""
-    rows = common.packed(df, text, k=common.column(key), t=common.column(text))
+    rows, own, _ = common.apart(df, text, k=common.column(key), t=common.column(text))
     found = remove(rows, "k", "t", as_text=True)
-    columns = {c.lower(): F.col("row").getField(c).alias(c) for c in common.others(df, text)} | {text.lower(): F.col("kept").alias(text)}
-    return found.select(*(columns[c.lower()] for c in df.columns))
+    columns = dict(zip(common.others(df, text), own, strict=True))
+    return found.select(*(F.col(columns.get(c, "kept")).alias(c) for c in df.columns))
