@@ -160,6 +160,22 @@ def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> int:
     return count
 
 
+_LONG_RUN = regex.compile(f"[{bpe._SPACE}]{{{LONG}}}|[^{bpe._SPACE}]{{{LONG}}}")
+
+
+def has_long_run(text: str) -> bool:
+    """Whether :data:`LONG` characters in a row are all white space or all not. Most texts are told by the lengths of their
+    words alone; what these leave open (control characters that Python alone takes for white space, many blanks) is
+    searched for."""
+    if len(text) < LONG:
+        return False
+    words = text.split()
+    letters = len("".join(words))
+    if max(map(len, words), default=0) < LONG and len(text) - letters - len(words) < LONG - 2 and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return False
+    return _LONG_RUN.search(text) is not None
+
+
 class Counting:
     """Counts the tokens of texts under a vocabulary of ranks. Texts go through the library, but for those with a very
     long run of white space or of other characters: these are cut into pre-tokens by the same pattern here, and
@@ -176,11 +192,11 @@ class Counting:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, source)}
         self.longest = max(map(len, self.ranks))
         self.own = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self.long_run = regex.compile(f"[{bpe._SPACE}]{{{LONG}}}|[^{bpe._SPACE}]{{{LONG}}}")
         self.pattern = regex.compile(bpe._PATTERN)
 
-    def count(self, text: str) -> int:
-        if len(text) < LONG or not self.long_run.search(text):
+    def count(self, text: str, long: bool | None = None) -> int:
+        """``long`` is what :func:`has_long_run` says, where it is known."""
+        if not (has_long_run(text) if long is None else long):
             return len(self.own.encode_ordinary(text))
         found = Counter(m[0] for m in self.pattern.finditer(text))
         return sum(n * self._piece(word) for word, n in found.items())
@@ -211,7 +227,8 @@ def token_counts(paths: dict[str, str], pattern: str, deduplicate: str | None =
         own = {name: _counting(path, pattern) for name, path in paths.items()}
         for part in parts:
             texts = [t or "" for t in part.tolist()]
-            out = pd.DataFrame({name: [e.count(t) for t in texts] for name, e in own.items()}, dtype="int64")
+            long = [has_long_run(t) for t in texts]
+            out = pd.DataFrame({name: [e.count(t, x) for t, x in zip(texts, long, strict=True)] for name, e in own.items()}, dtype="int64")
             if deduplicate:
                 shorter = [without_repeated_lines(t) for t in texts]
                 out["revised"] = [n if len(s) == len(t) else own[deduplicate].count(s) for n, s, t in zip(out[deduplicate], shorter, texts, strict=True)]

@@ -391,6 +391,16 @@ def test_token_counts_equal_the_library():
         rollup.Counting(public_tokenizers.path("byte_bpe_50k.tiktoken"), "other")
 
 
+def test_long_runs_are_told():
+    rng = random.Random(14)
+    seen = set()
+    for _ in range(3_000):
+        t = "".join(rng.choice(["a", "é ", " ", "\n", "\x1c", "\u2003", "b\x1f", "."]) * rng.choice([1, 1, 1, 3, 200, 510, 512, 700]) for _ in range(rng.randrange(0, 7)))
+        assert rollup.has_long_run(t) == (rollup._LONG_RUN.search(t) is not None)
+        seen.add(rollup.has_long_run(t))
+    assert seen == {True, False} and rollup.has_long_run(" " * rollup.LONG) and not rollup.has_long_run(" " * (rollup.LONG - 1))
+
+
 def test_token_counts_of_very_long_runs(spark):
     """Two megabytes of blanks, of letters and of one word's lines; each result is that of its own text."""
     paths = {"v1": public_tokenizers.path("byte_bpe_50k.tiktoken")}
