@@ -375,15 +375,22 @@ def field_counts(spark, sf):
 
 
 def _files(spark, sf, buckets: int = 16) -> str:
-    """Documents as text files, one for each bucket, in order of ids."""
+    """Documents as text files, one for each bucket (the remainder of the id, with its sign), in order of ids."""
     folder = scratch(spark, "files")
-    rows = _t(spark, sf, "documents").select(F.pmod("doc_id", F.lit(buckets)).cast("int").alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("doc_id").select("bucket", "value").write.partitionBy("bucket").text(folder)
+    rows = _t(spark, sf, "documents").select((F.col("doc_id") % buckets).cast("int").alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows = rows.repartitionById(buckets, F.coalesce(F.pmod("bucket", F.lit(buckets)), F.lit(0)))
+    # the bucket first: the writer sorts by it where the rows are in another order, and what they were sorted by is lost
+    rows.sortWithinPartitions("bucket", "doc_id").select("bucket", "value").write.partitionBy("bucket").text(folder)
     return folder
 
 
+def _bucket(path: str) -> Column:
+    """The bucket that a file's path names; null for that of documents without an id."""
+    return F.regexp_extract(path, r"bucket=(-?\d+)", 1).try_cast("long")
+
+
 def _file_sums(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("bucket", F.regexp_extract("source_file", r"bucket=(\d+)", 1).cast("long"))
+    rows = rows.withColumn("bucket", _bucket("source_file"))
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("content") != "").alias("n_not_blank"), F.sum(F.col("line_number") * F.length("content")).cast("long").alias("places"))
 
 
@@ -399,7 +406,7 @@ def large_file_lines(spark, sf):
 
 def file_list(spark, sf):
     rows = source.list_files(spark, f"{_files(spark, sf)}/*/*.txt")
-    return rows.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long").alias("bucket"), F.col("length").alias("bytes"))
+    return rows.select(_bucket("path").alias("bucket"), F.col("length").alias("bytes"))
 
 
 def csv_header_file(spark, sf):

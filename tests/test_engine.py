@@ -286,6 +286,32 @@ def test_lines_and_files(spark, tmp_path):
     assert source.detect_delimiter(["a;b;c", "1;2;3", "x,y;z;w"]) == ";"
 
 
+def equal_their_sql(spark, folder, rows, names):
+    """Queries over these documents, which lie in nine files, against SQL; the count of rows of the last."""
+    import duckdb
+
+    from logloom import queries
+
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(f"file://{folder}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    for name in names:
+        got = {r["bucket"]: tuple(r) for r in queries.queries()[name](spark, f"file://{folder}").collect()}
+        assert got == {r[0]: r for r in db.execute(queries.oracle_sql()[name]).fetchall()}, name
+    return len(got)
+
+
+@pytest.mark.parametrize("name", ["file_lines"])
+def test_lines_of_files_are_in_order_of_ids(spark, tmp_path, name):
+    ids = random.Random(4).sample(range(600), 600)
+    assert equal_their_sql(spark, tmp_path, [(i, f"a{i}\n" + "x" * (i % 37) + "\r\n\n" * (i % 3)) for i in ids], [name]) == 16
+
+
+def test_files_of_ids_below_zero_and_of_none(spark, tmp_path):
+    rows = [*((i, f"{i}\n\nx") for i in range(-40, 40)), (None, "no id"), (1 << 40, None)]
+    assert equal_their_sql(spark, tmp_path, rows, ["file_lines", "large_file_lines", "file_list"]) == 32
+
+
 def test_csv_header_names(spark, tmp_path):
     (tmp_path / "x.csv").write_text('Event ID;Source--IP\n1;"a;b"\n')
     df = source.read_csv(spark, f"file://{tmp_path}/x.csv")
