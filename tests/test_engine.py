@@ -301,10 +301,15 @@ def equal_their_sql(spark, folder, rows, names):
     return len(got)
 
 
-@pytest.mark.parametrize("name", ["file_lines"])
+@pytest.mark.parametrize("name", ["file_lines", "large_file_lines"])
 def test_lines_of_files_are_in_order_of_ids(spark, tmp_path, name):
+    """The large files are cut into several splits each."""
     ids = random.Random(4).sample(range(600), 600)
-    assert equal_their_sql(spark, tmp_path, [(i, f"a{i}\n" + "x" * (i % 37) + "\r\n\n" * (i % 3)) for i in ids], [name]) == 16
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        assert equal_their_sql(spark, tmp_path, [(i, f"a{i}\n" + "x" * (i % 37) + "\r\n\n" * (i % 3)) for i in ids], [name]) == 16
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_files_of_ids_below_zero_and_of_none(spark, tmp_path):
