@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import clean_header, strip
+from ..session import stored
 
 _BREAK = "\r\n|\n|\r"
 
@@ -55,13 +56,16 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "auto") -> DataFr
 
 
 def read_large(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Files of any size, split among tasks. Numbers come from the counts of lines in each split, a small table."""
+    """Files of any size, split among tasks. Numbers come from the counts of lines in each split, a small table. Where files
+    are cut, and which splits go to one task, may change from one scan to the next (with settings, or as executors come and
+    go), so they are scanned once, into the shared folder, and both the counts and the lines are read from there."""
     rows = spark.read.option("encoding", encoding).text(path) if encoding.upper() != "UTF-8" else spark.read.text(path)
     rows = rows.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    rows = stored(rows, "large-lines")
     splits = rows.groupBy("source_file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("source_file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    out = rows.join(splits, ["source_file", "block"])
+    out = rows.join(stored(splits, "large-splits"), ["source_file", "block"])  # stored, its size is known, and so the lines are not shuffled
     return out.select("source_file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line_number"), strip(F.col("value")).alias("content"))
 
 

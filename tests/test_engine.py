@@ -1,6 +1,8 @@
 """Parsers, anonymization, templates, sources and sinks on small inputs."""
 
+import itertools
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -312,6 +314,31 @@ def test_lines_of_files_are_in_order_of_ids(spark, tmp_path, name):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_large_files_are_cut_once(spark, tmp_path):
+    """While a job reads, the settings that cut files change: no line is lost, and numbers stay right."""
+    for k in range(12):
+        (tmp_path / f"{k}.log").write_text("".join(f"{k} {i}\n" for i in range(1, 20_001 + k)))
+    stop = threading.Event()
+
+    def change():
+        for size in itertools.cycle((40_000, 70_000, 110_000)):
+            if stop.wait(0.01):
+                return
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+
+    changing = threading.Thread(target=change)
+    changing.start()
+    try:
+        found = source.read_large(spark, f"file://{tmp_path}")
+        right = F.concat_ws(" ", F.regexp_extract("source_file", r"(\d+)\.log", 1), "line_number") == F.col("content")
+        counts = [tuple(found.select(F.count(F.lit(1)), F.count_if(right)).first()) for _ in range(3)]
+    finally:
+        stop.set()
+        changing.join()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert counts == [(12 * 20_000 + 66, 12 * 20_000 + 66)] * 3
+
+
 def test_files_of_ids_below_zero_and_of_none(spark, tmp_path):
     rows = [*((i, f"{i}\n\nx") for i in range(-40, 40)), (None, "no id"), (1 << 40, None)]
     assert equal_their_sql(spark, tmp_path, rows, ["file_lines", "large_file_lines", "file_list"]) == 32
