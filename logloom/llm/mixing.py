@@ -80,12 +80,13 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, temperature: flo
     else:
         table = table.withColumn("m_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("m_key", F.pmod(F.xxhash64("m_id"), F.lit(SALTS)).cast("int")).join(table, same & (F.col("m_key") == F.col("m_salt"))).drop("m_key", "m_salt")
-    invert = lambda u: F.size(F.filter("m_steps", lambda c: c <= u))
-    joined = joined.withColumn("m_u", uniform(seed, F.col("m_id"))).withColumn("m_first", invert(F.col("m_u"))).drop("m_u")
+    # The optimizer would move the hashed number into the inner function, to be made for each step; an element of an array is made once.
+    invert = lambda u: F.transform(F.array(u), lambda x: F.size(F.filter("m_steps", lambda c: c <= x)))[0]
+    joined = joined.withColumn("m_first", invert(uniform(seed, F.col("m_id"))))
     further = F.aggregate(F.sequence(F.lit(2), F.col("m_pieces")), F.col("m_first"), lambda n, k: n + invert(uniform(seed, F.col("m_id"), k)))
     joined = joined.withColumn("m_count", F.when(F.col("m_pieces") > 1, further).otherwise(F.col("m_first")))
-    copies = joined.where("m_count > 0").select(*own, "m_id", "m_rate", F.explode(F.sequence(F.lit(1), F.col("m_count"))).alias("m_copy"))
+    numbers = F.when(F.col("m_count") > 0, F.sequence(F.lit(1), F.col("m_count")))  # null gives no row; a filter would count anew
+    copies = joined.select(*own, "m_id", "m_rate", F.explode(numbers).alias("m_copy"))
     copies = copies.withColumn("m_key", F.xxhash64(F.lit(seed), F.col("m_id"), F.col("m_copy")))
-    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # whole texts move, so tasks are kept small
-    mixed = copies.repartition(partitions, "m_key").sortWithinPartitions("m_key")
+    mixed = copies.repartition("m_key").sortWithinPartitions("m_key")  # the session's count at most: each file costs processes on a local store
     return mixed.select(*back, F.col("m_copy").cast("int").alias("copy"), F.round("m_rate", 9).alias("rate"))

@@ -88,6 +88,15 @@ def test_mixing(spark, docs, nothing, monkeypatch):
     assert abs(mixing.mix(big, total=100_000).count() - 100_000) < 1_500  # a rate of 2,000
 
 
+def test_mixing_hashes_once_a_row_and_makes_no_more_files_than_asked_for(spark, tmp_path):
+    rows = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 1, "rare").otherwise("hot").alias("source"))
+    got = mixing.mix(rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 2  # the first piece's and the further pieces', neither again for the steps or a filter
+    got.write.parquet(str(tmp_path / "mixed"))
+    assert 0 < len(list((tmp_path / "mixed").glob("*.parquet"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def removed(rows, length=100):
     seen, out = set(), {}
     for i, t in rows:
